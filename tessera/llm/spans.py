@@ -43,11 +43,9 @@ def reach(span: int) -> int:
     return (span - GEAR + 1) // 2
 
 
-def _cuts_in(codes: np.ndarray, starts: np.ndarray, wide: int) -> np.ndarray:
-    """Cuts (last character of the gear window) of texts laid end to end, each beginning at one of `starts`."""
+def _least(codes: np.ndarray, wide: int) -> np.ndarray:
+    """For each of len(codes) - wide + 1 beginnings, where the gear hash is least among `wide` places; the last of equals."""
     n = len(codes)
-    if n < GEAR + wide:
-        return np.zeros(0, np.int64)
     hashed = _mix(codes.astype(np.uint64) + _BASE).astype(np.uint32)
     for step in (1, 2, 4, 8, 16):
         rolled = hashed.copy()
@@ -60,14 +58,22 @@ def _cuts_in(codes: np.ndarray, starts: np.ndarray, wide: int) -> np.ndarray:
         size *= 2
     if size < wide:
         order = np.minimum(order[: len(order) - (wide - size)], order[wide - size :])
+    return 0xFFFFFFFF - (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _cuts_in(codes: np.ndarray, starts: np.ndarray, wide: int) -> np.ndarray:
+    """Cuts (last character of the gear window) of texts laid end to end, each beginning at one of `starts`."""
+    n = len(codes)
+    if n < GEAR + wide:
+        return np.zeros(0, np.int64)
+    places = _least(codes, wide)
     ends = np.append(starts[1:], n)
-    usable = np.zeros(len(order) + 1, np.int32)  # +1 where windows of one text begin, -1 where they end
+    usable = np.zeros(len(places) + 1, np.int32)  # +1 where windows of one text begin, -1 where they end
     first, last = starts + GEAR - 1, ends - wide + 1
     fits = last > first
     np.add.at(usable, first[fits], 1)
     np.add.at(usable, last[fits], -1)
-    kept = order[np.cumsum(usable[:-1]) > 0]
-    places = 0xFFFFFFFF - (kept & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    places = places[np.cumsum(usable[:-1]) > 0]
     return places[np.append(True, places[1:] != places[:-1])] if len(places) else places
 
 
@@ -148,16 +154,23 @@ def _chunker(span: int):
     return run
 
 
-def candidate_starts(n: int, found: np.ndarray, flagged: np.ndarray, span: int) -> np.ndarray:
-    """Where windows of `span` characters begin all of whose chunks are flagged; each holds one chunk at least."""
-    bad = np.ones(len(found) - 1, bool)
-    bad[flagged] = False
-    blocked = np.zeros(n - span + 2, np.int32)
-    # a chunk from a to b (exclusive) lies in the windows that begin at b - span .. a
-    a, b = found[:-1][bad] - GEAR + 1, found[1:][bad] + 1
-    np.add.at(blocked, np.clip(b - span, 0, n - span + 1), 1)
-    np.add.at(blocked, np.clip(a + 1, 0, n - span + 1), -1)
-    return np.flatnonzero(np.cumsum(blocked[:-1]) == 0)
+def candidate_starts(codes: np.ndarray, flagged: np.ndarray, span: int) -> np.ndarray:
+    """Where windows of `span` characters begin whose own cuts enclose only flagged chunks.
+
+    A window's own cuts are those that places inside it decide: from the least of its first places to the least of
+    its last. Another text with the same window has the same cuts there, and so the same chunks, one at least."""
+    wide, found, out = reach(span), cuts(codes, span), []
+    bad = np.ones(max(0, len(found) - 1), np.int64)
+    bad[flagged] = 0
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(bad)])
+    for low in range(0, len(codes) - span + 1, _SLAB):
+        part = codes[low : low + _SLAB + span - 1]
+        least = low + _least(part, wide)
+        n = len(part) - span + 1
+        first = np.searchsorted(found, least[GEAR - 1 : GEAR - 1 + n])
+        last = np.searchsorted(found, least[span - wide : span - wide + n])
+        out.append(low + np.flatnonzero(before[first] == before[last]))
+    return np.concatenate(out)
 
 
 def _windower(span: int):
@@ -165,7 +178,7 @@ def _windower(span: int):
         for batch in batches:
             for doc, text, flagged in zip(*(batch.column(i) for i in range(3))):
                 codes = code_points(text.as_py())
-                at = candidate_starts(len(codes), cuts(codes, span), np.array(flagged.as_py(), np.int64), span)
+                at = candidate_starts(codes, np.array(flagged.as_py(), np.int64), span)
                 for k in range(0, len(at), _SLAB):
                     some = at[k : k + _SLAB]
                     h1 = stretch_hashes(codes, some, some + span, 1).view(np.int64)
