@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.conversations import conversations, dropped_sessions
 from tessera.llm.leakage import leaked_items
 from tessera.llm.packing import pack
+from tessera.llm.pii import find_pii, redact_pii
 from tessera.llm.spans import shared_characters, shared_spans
 from tessera.llm.split import refreshed_chunks, split_oversized
 from tessera.session import table
@@ -25,6 +26,21 @@ def p1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refreshed_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "blocks")).select("chunk_id", "oversized")
 
 
+def _private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "turns").select(F.lit("turn").alias("kind"), F.col("turn_id").cast("string").alias("rec_key"), "text")
+    return turns.unionByName(table(spark, sf_dir, "leaves").select(F.lit("leaf").alias("kind"), F.col("leaf_id").alias("rec_key"), F.col("content").alias("text")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_private(spark, sf_dir), table(spark, sf_dir, "known_names"))
+    return found.select("kind", "rec_key", "pii_type", "found").distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with placeholders; a real deployment takes the key from its own secret store."""
+    return redact_pii(_private(spark, sf_dir), table(spark, sf_dir, "known_names"), b"tessera-demonstration-key")
+
+
 def _talk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return table(spark, sf_dir, "messages"), table(spark, sf_dir, "turns"), table(spark, sf_dir, "sessions")
 
@@ -58,7 +74,7 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_chunks, p6_found, p6_conversations, p7_containers, p8_found, p8_near, p9_found, p9_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_chunks, p5_found, p5_redacted, p6_found, p6_conversations, p7_containers, p8_found, p8_near, p9_found, p9_spans)}
 ORACLE = {
     "p1_chunks": """
         with sizes as (select block_id, max(source) as source, max(ord) as ord, max(length(text)) as n from blocks group by block_id),
