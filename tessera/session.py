@@ -40,7 +40,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Writes a columnar table into the shared folder and reads it back with its statistics."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
