@@ -24,7 +24,7 @@ SPAN, GEAR = 200, 32
 _SLAB = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNKS = "doc_id bigint, text_id bigint, n_chars bigint, digests array<bigint>"
-_WINDOWS = "doc_id bigint, start array<int>, h1 array<bigint>, h2 array<int>"
+_WINDOWS = "doc_id bigint, start array<int>, h1 array<bigint>, h2 array<smallint>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -182,9 +182,9 @@ def _windower(span: int):
                 for k in range(0, len(at), _SLAB):
                     some = at[k : k + _SLAB]
                     h1 = stretch_hashes(codes, some, some + span, 1).view(np.int64)
-                    h2 = (stretch_hashes(codes, some, some + span, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    h2 = (stretch_hashes(codes, some, some + span, 2) >> np.uint64(48)).astype(np.uint16).view(np.int16)
                     one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), one(some.astype(np.int32), pa.int32()), one(h1, pa.int64()), one(h2, pa.int32())], ["doc_id", "start", "h1", "h2"])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), one(some.astype(np.int32), pa.int32()), one(h1, pa.int64()), one(h2, pa.int16())], ["doc_id", "start", "h1", "h2"])
 
     return run
 
