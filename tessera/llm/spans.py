@@ -22,6 +22,8 @@ from tessera.session import small, written
 
 SPAN, GEAR = 200, 32
 _SLAB = 1 << 20
+#: Rows of two hashes, under 10 MB in all, up to which they are broadcast.
+NARROW_ROWS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNKS = "doc_id bigint, text_id bigint, n_chars bigint, digests array<bigint>"
 _WINDOWS = "doc_id bigint, start array<int>, h1 array<bigint>, h2 array<smallint>"
@@ -204,8 +206,13 @@ def shared_windows(documents: DataFrame, span: int = SPAN) -> tuple[DataFrame, D
     standing = written(marked.join(groups, "text_id").where("doc_id = first").select("doc_id", "places"), "marked")
     windows = texts.join(small(standing), "doc_id").select("doc_id", "text", "places").mapInArrow(_windower(span), _WINDOWS)
     hashed = written(windows.select("doc_id", F.explode(F.arrays_zip("start", "h1", "h2")).alias("w")).select("doc_id", "w.*"), "windows")
-    twice = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h1", "h2")
-    return narrow, hashed.join(twice, ["h1", "h2"], "left_semi").select("doc_id", "start")
+    # A window that occurs twice in all is known from the two ends of its group; only commoner ones are looked up again.
+    ends = [F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min_by("start", "doc_id").alias("at_a"), F.max_by("start", "doc_id").alias("at_b"), F.count("*").alias("n")]
+    common_windows = written(hashed.groupBy("h1", "h2").agg(*ends).where("a <> b").select(*[F.when(F.col("n") == 2, F.col(c)).alias(c) for c in ("a", "b", "at_a", "at_b")], *[F.when(F.col("n") > 2, F.col(c)).alias(c) for c in ("h1", "h2")]), "found")
+    pairs = common_windows.where("a is not null")
+    twice = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("at_a").alias("start")), F.struct(F.col("b").alias("doc_id"), F.col("at_b").alias("start")))).alias("w")).select("w.*")
+    often = hashed.join(small(common_windows.where("h1 is not null").select("h1", "h2"), NARROW_ROWS), ["h1", "h2"]).select("doc_id", "start")
+    return narrow, twice.unionByName(often)
 
 
 def shared_characters(documents: DataFrame, span: int = SPAN) -> DataFrame:
