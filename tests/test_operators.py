@@ -166,6 +166,6 @@ def test_memory_end_to_end(spark, documents, tmp_path):
     assert "b.md" in memory.search("recipe ingredients oven").first().source
     assert [(r.new_value, r.old_value) for r in memory.conflicts().collect()] == [("Bergen now", "Oslo")]
     memory.ingest(spark.createDataFrame([(0, "notes/a.md", "Another text altogether.\n")], "doc_id bigint, source string, text string"), "2026-02-01T00:00:00Z")
-    assert memory.leaves(historical=True).where("status = 'HISTORICAL'").count() == 1
+    assert memory.leaves(historical=True).where("status = 'HISTORICAL'").count() == 2
     with pytest.raises(ValueError):
         Config(branch_factor=1)
