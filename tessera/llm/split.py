@@ -132,7 +132,7 @@ def refreshed_chunks(chunks: DataFrame, blocks: DataFrame, max_tokens: int = MAX
     sizes = blocks.select("block_id", "source", "ord", F.char_length("text").alias("n")).where("block_id is not null").groupBy("block_id").agg(F.max(F.struct("source", "ord", F.coalesce("n", F.lit(0)).alias("n"))).alias("b"))
     sizes = sizes.select("block_id", "b.*")
     ends = lambda side: sizes.select(F.col("block_id").alias(side), F.col("source").alias(f"{side}_source"), F.col("ord").alias(f"{side}_ord"))
-    keyed = chunks.select("chunk_id", "first_block_id", "last_block_id").join(ends("first_block_id"), "first_block_id").join(ends("last_block_id"), "last_block_id").where("first_block_id_ord <= last_block_id_ord")
+    keyed = chunks.select("chunk_id", "first_block_id", "last_block_id").distinct().join(ends("first_block_id"), "first_block_id").join(ends("last_block_id"), "last_block_id").where("first_block_id_ord <= last_block_id_ord")
     spans = keyed.select("chunk_id", F.col("first_block_id_source").alias("source"), F.explode(F.sequence("first_block_id_ord", "last_block_id_ord")).alias("ord"))
     total = spans.join(sizes, ["source", "ord"]).groupBy("chunk_id").agg((F.sum("n") > max_tokens * 4 + 3).alias("_over"))
     return chunks.drop("oversized").join(total, "chunk_id", "left").withColumnRenamed("_over", "oversized")
