@@ -25,8 +25,10 @@ def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], out: str =
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc, term, tf, len) and a one-row (n_docs, avg_len). Documents without a term count among the documents."""
-    tf = term_rows(docs, [doc], text).groupBy(doc, "term").agg(F.count("*").alias("tf"))
+    """(doc, term, tf, len) and a one-row (n_docs, avg_len). Documents without a term count among the documents.
+
+    The term counts are written once: they feed lengths, document frequencies and scores."""
+    tf = written(term_rows(docs, [doc], text).groupBy(doc, "term").agg(F.count("*").alias("tf")), "postings")
     size = tf.groupBy(doc).agg(F.sum("tf").alias("len"))
     total = size.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
     stats = docs.agg(F.count("*").alias("n_docs")).join(F.broadcast(total)).select("n_docs", F.greatest(F.lit(1.0), F.col("total") / F.greatest(F.lit(1), F.col("n_docs"))).alias("avg_len"))
@@ -74,3 +76,50 @@ def confidence(scored: DataFrame, margin: float = 0.18, query: str = "item_id",
     ties = rows.groupBy(query).agg(F.count_if(F.col("score") >= F.col("best") * (1 - margin)).alias("near_ties"))
     best = rows.where("rn = 1").select(query, F.col("score").alias("best_score"), F.round(F.least(F.lit(1.0), 0.6 * F.col("coverage") + 0.4 * gap), 4).alias("confidence"), (F.col("coverage") < 0.3).alias("weak"))
     return best.join(ties, query)
+
+
+def weighted_text(df: DataFrame, fields: dict[str, int]) -> Column:
+    """Fields joined into one text, each repeated by its weight, as a ranking by weighted fields reads them.
+
+    A repeated field lengthens the document as well; null fields are left out."""
+    parts = [F.when(F.col(c).isNotNull(), F.repeat(F.concat(F.col(c), F.lit(" ")), F.lit(n))) for c, n in fields.items()]
+    return F.concat_ws(" ", *parts)
+
+
+def two_groups(docs: DataFrame, first: DataFrame, second: DataFrame, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
+    """(query, doc, score): a query with a clue as second group of terms. The groups' scores add up; a document that
+    matches both groups counts 1.6 times, one that matches a single group 0.7 times. A query without clue keeps its score."""
+    a = bm25(docs, first, doc, query).select(query, doc, F.col("score").alias("a"))
+    b = bm25(docs, second, doc, query).select(query, doc, F.col("score").alias("b"))
+    clued = term_rows(second, [query]).select(query).distinct().withColumn("_clue", F.lit(True))
+    both = a.join(b, [query, doc], "full").join(clued, query, "left")
+    total = F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))
+    factor = F.when(F.col("_clue").isNull(), 1.0).when((F.col("a") > 0) & (F.col("b") > 0), 1.6).otherwise(0.7)
+    return both.select(query, doc, F.round(total * factor, 6).alias("score"))
+
+
+def best_formulation(outcomes: DataFrame) -> DataFrame:
+    """Of several phrasings (question, pos, outcome, confidence) of a question the best: by outcome, then confidence, then position."""
+    by = Window.partitionBy("question").orderBy(F.desc("outcome"), F.desc("confidence"), "pos")
+    return outcomes.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")
+
+
+def held_overlap(new: DataFrame, old: DataFrame, least: float = 0.5, key: str = "new_id", other: str = "old_id") -> DataFrame:
+    """(new_id, old_id, held): what a correction (new_id, text) corrects: the one of old (old_id, text) that shares the
+    largest part of its terms, at least `least` of them; a tie between two is no answer. Candidates meet on shared terms."""
+    a = term_rows(new, [key]).distinct()
+    b = term_rows(old, [other]).distinct()
+    sizes = a.groupBy(key).agg(F.count("*").alias("n"))
+    common = a.join(b, "term").groupBy(key, other).agg(F.count("*").alias("m")).join(sizes, key)
+    rows = common.withColumn("held", F.round(F.col("m") / F.col("n"), 6)).where(F.col("held") >= least)
+    by = Window.partitionBy(key).orderBy(F.desc("held"), other)
+    ranked = rows.withColumns({"_r": F.row_number().over(by), "_next": F.lead("held").over(by)})
+    return ranked.where("_r = 1 and (_next is null or _next < held)").select(key, other, "held")
+
+
+def clue_needed(judged: DataFrame, terms: DataFrame, query: str = "item_id") -> DataFrame:
+    """(query, reason) of answers too unsure to give: weak ones ask nothing; low confidence, or near ties of a query of
+    one or two terms, ask for a clue. `judged` comes from confidence(); `terms` has (query, n_terms)."""
+    few = F.col("n_terms") <= 2
+    reason = F.when(F.col("weak"), None).when(F.col("confidence") < 0.45, "low confidence").when((F.col("near_ties") > 1) & few, "underspecified")
+    return judged.join(terms, query).select(query, reason.alias("reason")).where("reason is not null")

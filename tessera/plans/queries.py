@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import notes, terms, text
-from tessera.operators import capture, chunking, classify, facts, ranking, search, store, tree
+from tessera.operators import capture, chunking, classify, facts, ranking, search, store, summaries, tree
+from tessera.operators.hierarchy import hierarchy, latest_links
 from tessera.operators.timestamps import utc_text
 from tessera.session import table
 
@@ -243,6 +244,68 @@ def confidence_margin(spark, d):
     return ranking.confidence(ranking.bm25(docs(spark, d), table(spark, d, "eval_items")))
 
 
+_SPLIT_ITEMS = "(select item_id, left(text, length(text) // 2) as text from eval_items)", "(select item_id, substr(text, length(text) // 2 + 1) as text from eval_items)"
+
+
+def _halves(spark: SparkSession, d: str) -> list[DataFrame]:
+    items = table(spark, d, "eval_items")
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    return [items.select("item_id", F.left("text", half).alias("text")), items.select("item_id", F.substr("text", half + 1).alias("text"))]
+
+
+@query(f"""select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from (
+    select coalesce(x.item_id, y.item_id) as item_id, coalesce(x.doc_id, y.doc_id) as doc_id, round((coalesce(x.score, 0.0) + coalesce(y.score, 0.0)) * case when x.score > 0 and y.score > 0 then 1.6 else 0.7 end, 6) as score
+    from (with {_bm25_sql(_SPLIT_ITEMS[0])} select * from scored) x full join (with {_bm25_sql(_SPLIT_ITEMS[1])} select * from scored) y on x.item_id = y.item_id and x.doc_id = y.doc_id)) where rank <= 3""")
+def bm25_two_groups(spark, d):
+    return ranking.top_k(ranking.two_groups(docs(spark, d), *_halves(spark, d)), 3)
+
+
+_LEAF_TEXT = "(select leaf_id as doc_id, repeat(title || ' ', 3) || ' ' || repeat(array_to_string(keywords, ' ') || ' ', 3) || ' ' || repeat(replace(array_to_string(tags, ' '), ':', ' ') || ' ', 2) || ' ' || left(content, 320) as text from (select leaf_id, max(title) as title, max(keywords) as keywords, max(tags) as tags, max(content) as content from leaves group by leaf_id))"
+_FIELDS = f"with {_bm25_sql(_ONE)} select doc_id, score, coverage from scored order by score desc, doc_id limit 20".replace("from documents", f"from {_LEAF_TEXT}")
+
+
+@query(_FIELDS)
+def bm25_field_weighted(spark, d):
+    leaves = table(spark, d, "leaves").groupBy(F.col("leaf_id").alias("doc_id")).agg(F.max("title").alias("title"), F.array_join(F.max("keywords"), " ").alias("keywords"), F.replace(F.array_join(F.max("tags"), " "), F.lit(":"), F.lit(" ")).alias("tags"), F.left(F.max("content"), F.lit(320)).alias("excerpt"))
+    text_column = ranking.weighted_text(leaves, {"title": 3, "keywords": 3, "tags": 2, "excerpt": 1})
+    return ranking.bm25(leaves.select("doc_id", text_column.alias("text")), _asked(spark)).select("doc_id", "score", "coverage").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query(f"""with a as (select distinct item_id as new_id, term from ({_terms_sql('eval_items', 'item_id')})), b as (select distinct doc_id as old_id, term from ({_terms_sql('documents', 'doc_id')})),
+    n as (select new_id, count(*) as n from a group by new_id), m as (select new_id, old_id, round(cast(count(*) as double) / any_value(n), 6) as held from a join b using (term) join n using (new_id) group by new_id, old_id)
+    select new_id, old_id, held from (select *, row_number() over w as r, lead(held) over w as nxt from m where held >= 0.5 window w as (partition by new_id order by held desc, old_id)) where r = 1 and (nxt is null or nxt < held)""")
+def held_overlap(spark, d):
+    items = table(spark, d, "eval_items").withColumnRenamed("item_id", "new_id")
+    return ranking.held_overlap(items, docs(spark, d).withColumnRenamed("doc_id", "old_id"))
+
+
+@query("""select question, pos, outcome, confidence from (select *, row_number() over (partition by question order by outcome desc, confidence desc, pos) as r from (
+    select session_id as question, ord as pos, case when role = 'assistant' then 3 else 1 end as outcome, length(coalesce(text, '')) as confidence from (select distinct session_id, ord, role, text from turns where session_id is not null))) where r = 1""")
+def best_formulation(spark, d):
+    rows = table(spark, d, "turns").where("session_id is not null").select("session_id", "ord", "role", "text").distinct()
+    asked = rows.select(F.col("session_id").alias("question"), F.col("ord").alias("pos"), F.when(F.col("role") == "assistant", 3).otherwise(1).alias("outcome"), F.char_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("confidence"))
+    return ranking.best_formulation(asked)
+
+
+@query()
+def clue_requests(spark, d):
+    items = table(spark, d, "eval_items")
+    sizes = terms.term_rows(items, ["item_id"]).groupBy("item_id").agg(F.count_distinct("term").alias("n_terms"))
+    return ranking.clue_needed(ranking.confidence(ranking.bm25(docs(spark, d), items)), sizes)
+
+
+@query()
+def summaries_per_doc(spark, d):
+    return summaries.summarize(docs(spark, d))
+
+
+@query()
+def tree_outline(spark, d):
+    rows = table(spark, d, "catalog_entries")
+    paths = hierarchy(latest_links(rows), paths=True)
+    return summaries.outline(tree.latest_entries(rows), paths.select("id", "path"))
+
+
 # ---------------------------------------------------------------- facts
 _EPOCH_SQL = r"""cast(floor(case when regexp_matches(trim(timestamp), '(Z|[+-]\d\d:\d\d)$') then epoch(try_cast(trim(timestamp) as timestamptz)) else epoch(try_cast(trim(timestamp) as timestamp)) end) as bigint)"""
 _KEYED_SQL = f"""k as (select fact_id, value, source_leaf_id, lower(strip_accents(trim(subject, ' ' || chr(9) || chr(10)))) || '::' || lower(strip_accents(trim(attribute, ' ' || chr(9) || chr(10)))) as key, lower(strip_accents(trim(value, ' ' || chr(9) || chr(10)))) as nv, {_EPOCH_SQL} as epoch
