@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -37,7 +39,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes a columnar table into the shared folder and reads it back with its statistics."""
+    """Writes a columnar table into the shared folder and reads it back with its statistics.
+
+    It stays there until the folder is emptied, as later jobs and retried tasks may read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
