@@ -55,6 +55,14 @@ def term_rows(df: DataFrame, ids: list[str], text: str = "text", content: bool =
     return rows.where(~F.col("term").isin(*stop) & ~F.col("term").rlike("^[0-9]+$"))
 
 
+def term_counts(df: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
+    """(ids..., term, tf) of the content terms. Words are counted before they are taken apart, which is the costly step."""
+    words = df.select(*ids, F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).alias("_w")).groupBy(*ids, "_w").agg(F.count("*").alias("_n"))
+    rows = words.select(*ids, "_n", F.explode(word_terms(F.col("_w"))).alias("term"))
+    kept = rows.where(~F.col("term").isin(*STOP) & ~F.col("term").rlike("^[0-9]+$"))
+    return kept.groupBy(*ids, "term").agg(F.sum("_n").alias("tf"))
+
+
 def keywords(df: DataFrame, ids: list[str], text: str = "text", top_k: int = 12) -> DataFrame:
     """(ids..., keywords): the most frequent terms of each text, ties in alphabetical order, joined by spaces."""
     counts = term_rows(df, ids, text).groupBy(*ids, "term").agg(F.count("*").alias("n"))

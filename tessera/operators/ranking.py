@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.terms import term_rows
+from tessera.functions.terms import term_counts, term_rows
 from tessera.session import written
 
 K1, B = 1.5, 0.75
@@ -28,7 +28,7 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[
     """(doc, term, tf, len) and a one-row (n_docs, avg_len). Documents without a term count among the documents.
 
     The term counts are written once: they feed lengths, document frequencies and scores."""
-    tf = written(term_rows(docs, [doc], text).groupBy(doc, "term").agg(F.count("*").alias("tf")), "postings")
+    tf = written(term_counts(docs, [doc], text), "postings")
     size = tf.groupBy(doc).agg(F.sum("tf").alias("len"))
     total = size.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
     stats = docs.agg(F.count("*").alias("n_docs")).join(F.broadcast(total)).select("n_docs", F.greatest(F.lit(1.0), F.col("total") / F.greatest(F.lit(1), F.col("n_docs"))).alias("avg_len"))
