@@ -1,4 +1,4 @@
-"""Capture as a stream: transcript files grow, turns are taken once, late facts re-resolve their keys."""
+"""Capture in sweeps: transcript files grow, turns are taken once; sessions counted as a stream; late facts re-resolve their keys."""
 
 from __future__ import annotations
 
@@ -6,28 +6,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.facts import timeline
+from tessera.session import written
 from tessera.sources.transcripts import parse_dialect_a, parse_dialect_b
 
 
 def capture_stream(spark: SparkSession, pattern: str, out: str, checkpoint: str, dialect: str = "a") -> None:
-    """Takes the turns of new transcript files into the table at `out`, then stops. A second run takes only new files.
-
-    The stream's checkpoint is the record of what was read; a turn's key is a hash of its content, so that a batch
-    that is run again after a failure leaves the table as it was. A file counts as new by its name: grown sessions
-    are written as further files."""
-    lines = spark.readStream.format("text").option("recursiveFileLookup", "true").load(pattern).select(F.col("_metadata.file_path").alias("path"), "value")
+    """Takes the turns that transcript files hold and the table at `out` lacks, then stops. A second run takes what came since.
+
+    The record at `checkpoint` has the size and time that each file had when it was read; files that differ from it,
+    new, grown or rewritten, are read again and merged by their turns' keys. A last line that is not yet whole gives no turn
+    and is taken by the run that finds it whole. The record is written after the turns, so that a run that fails is
+    made good by the next."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern).select("path", "length", "modificationTime")
+    seen = f"{checkpoint}/files"
+    if _exists(spark, seen):
+        files = files.join(spark.read.parquet(seen), ["path", "length", "modificationTime"], "left_anti")
+    changed = written(files, "changed")  # as listed now: what is added from here on counts as not yet read
+    paths = [r.path for r in changed.select("path").collect()]
+    if not paths:
+        return
+    lines = spark.read.option("__globPaths__", "false").text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
     turns = {"a": parse_dialect_a, "b": parse_dialect_b}[dialect](lines)
-    keyed = turns.withColumn("turn_key", F.sha2(F.to_json(F.struct("path", "session_id", "timestamp", "role", "text", "actions")), 256))
+    upsert(turns.withColumn("turn_key", F.sha2(F.to_json(F.struct("path", "session_id", "timestamp", "role", "text", "actions")), 256)), out)
+    changed.write.mode("append").parquet(seen)
 
-    def store(batch: DataFrame, number: int) -> None:
-        upsert(batch.dropDuplicates(["turn_key"]), f"{out}/batch={number}")
 
-    keyed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def _exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
-def upsert(batch: DataFrame, path: str) -> None:
-    """A batch has a folder of its own, overwritten if the batch is run again."""
-    batch.write.mode("overwrite").parquet(path)
+def upsert(turns: DataFrame, out: str) -> None:
+    """Adds the turns whose key the table at `out` lacks, as a batch folder of their own. A key is a hash of the content."""
+    spark, number = turns.sparkSession, 0
+    turns = turns.dropDuplicates(["turn_key"])
+    if _exists(spark, out):
+        stored = spark.read.parquet(out)
+        number = (stored.agg(F.max("batch")).first()[0] or 0) + 1
+        turns = turns.join(stored.select("turn_key"), "turn_key", "left_anti")
+    turns.write.mode("append").parquet(f"{out}/batch={number}")
 
 
 def session_counts(spark: SparkSession, pattern: str, schema: str, timeout: str = "30 minutes"):
