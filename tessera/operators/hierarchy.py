@@ -115,3 +115,27 @@ def descendants(tree: DataFrame) -> DataFrame:
     """(id, descendant, distance) for each node and each node below it, from a hierarchy with paths; cycles give none."""
     steps = tree.where("path is not null").select(F.col("id").alias("descendant"), F.size("path").alias("_n"), F.posexplode("path").alias("_i", "id"))
     return steps.where("_i < _n - 1").select("id", "descendant", (F.col("_n") - 1 - F.col("_i")).alias("distance"))
+
+
+def all_descendants(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, loop) for every id, (id, descendant, distance, loop) for each id and each other id below it).
+
+    `loop` is "on" for ids on a loop, "below" for those below one, else null. What is reached by going down from an id
+    is below it, at the least number of steps: for ids on a loop these are the loop's other ids and all that hangs from
+    any of them, for ids below a loop what hangs from them. Each loop is opened above its smallest id, which makes a
+    tree of all that is on or below it; ids of the loop that the opening took out of a path are added to it again."""
+    tree = written(hierarchy(links, paths=True), "tree")
+    whole = tree.where("depth >= 0")
+    looped = tree.where("depth < 0").select("id", "root_id")
+    unmarked = F.lit(None).cast("string").alias("loop")
+    marks, pairs = whole.select("id", unmarked), descendants(whole).select("*", unmarked)
+    if looped.isEmpty():
+        return marks, pairs
+    caught = looped.join(links.where("id is not null"), "id")
+    opened = written(hierarchy(caught.select("id", F.when(F.col("id") != F.col("root_id"), F.col("parent")).alias("parent")), paths=True), "opened")
+    loops = caught.where("id = root_id").select("root_id", F.col("parent").alias("id")).join(opened.select("id", F.col("path").alias("_loop")), "id").drop("id")
+    placed = written(opened.join(loops, "root_id").withColumn("_on", F.size(F.array_intersect("path", "_loop"))), "placed")
+    caught_marks = placed.select("id", F.when(F.expr("_on = size(path)"), "on").otherwise("below").alias("loop"))
+    rest = placed.select(F.col("id").alias("descendant"), "_on", F.expr("size(path) - 1 + size(_loop)").alias("_n"), F.posexplode(F.expr("slice(_loop, _on + 1, size(_loop) - _on)")).alias("_i", "id"))
+    below = descendants(placed).unionByName(rest.select("id", "descendant", F.expr("_n - _on - _i").alias("distance")))
+    return marks.unionByName(caught_marks), pairs.unionByName(below.join(caught_marks, "id"))

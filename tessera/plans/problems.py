@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.hierarchy import descendants, hierarchy, latest_links
+from tessera.operators.hierarchy import all_descendants, hierarchy, latest_links
 from tessera.operators.history import fact_history
 from tessera.operators.timestamps import normalize_instants, utc_text, with_session_zone
 from tessera.session import table
@@ -38,12 +38,17 @@ def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("id", "root_id", "depth", F.array_join("path", "/").alias("path"))
 
 
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node with each node below it and their distance; `loop` tells nodes on or below a loop."""
+    return all_descendants(latest_links(table(spark, sf_dir, "catalog_entries")))[1]
+
+
 def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each node with the number of its descendants and the deepest one's distance; leaves have 0."""
-    tree = hierarchy(latest_links(table(spark, sf_dir, "catalog_entries")), paths=True)
-    below = descendants(tree).groupBy("id").agg(F.count("*").alias("n_descendants"), F.max("distance").alias("height"))
-    return tree.where("path is not null").select("id").join(below, "id", "left").select("id", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), F.coalesce("height", F.lit(0)).alias("height"))
+    """Each node with the number of its descendants and the deepest one's distance; leaves have 0; `loop` as in p4_pairs."""
+    marks, pairs = all_descendants(latest_links(table(spark, sf_dir, "catalog_entries")))
+    below = pairs.groupBy("id").agg(F.count("*").alias("n_descendants"), F.max("distance").alias("height"))
+    return marks.join(below, "id", "left").select("id", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), F.coalesce("height", F.lit(0)).alias("height"), "loop")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_history, p3_found, p4_found, p4_paths, p4_descendants)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_history, p3_found, p4_found, p4_paths, p4_pairs, p4_descendants)}
 ORACLE: dict[str, str] = {}
