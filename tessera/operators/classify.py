@@ -79,9 +79,10 @@ def language(source: Column) -> Column:
     return F.try_element_at(table, F.lower(F.regexp_extract(source, r"(\.[A-Za-z]+)$", 1)))
 
 
-def lexicon_hits(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind, name, hits, distinct_hits) of the first 20,000 characters' words; only hits leave their task."""
-    words = documents.select("doc_id", F.explode(F.regexp_extract_all(normalize(F.left("text", F.lit(20000))), F.lit(WORD), F.lit(0))).alias("term"))
+def lexicon_hits(documents: DataFrame, sample: int | None = None) -> DataFrame:
+    """(doc_id, kind, name, hits, distinct_hits) of a text's words, or its first `sample` characters'; only hits leave their task."""
+    text = F.left("text", F.lit(sample)) if sample else F.col("text")
+    words = documents.select("doc_id", F.explode(F.regexp_extract_all(normalize(text), F.lit(WORD), F.lit(0))).alias("term"))
     hits = words.join(F.broadcast(lexicon(documents.sparkSession)), "term").groupBy("doc_id", "kind", "name", "term").agg(F.count("*").alias("n"))
     return hits.groupBy("doc_id", "kind", "name").agg(F.sum("n").alias("hits"), F.count("*").alias("distinct_hits"))
 
@@ -107,8 +108,8 @@ def detect(documents: DataFrame) -> DataFrame:
     Ties go to the type named first in: CODE, CLINICAL, PROCESS, PERSONAL, NARRATIVE. Null texts read as empty; a
     document id counts once."""
     order = ["CODE", *TYPES]
-    sample = F.left(F.coalesce("text", F.lit("")), F.lit(20000))
-    docs = documents.where("doc_id is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), sample.alias("s"))
+    whole = F.coalesce("text", F.lit(""))
+    docs = documents.where("doc_id is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), whole.alias("s"))
     n = lambda p: F.regexp_count("s", F.lit(p))
     breaks = F.char_length("s") - F.char_length(F.replace("s", F.lit("\n"), F.lit("")))
     base = docs.select(

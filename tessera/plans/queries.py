@@ -551,7 +551,7 @@ def _lexicon_sql() -> str:
 
 @query(_lexicon_sql())
 def detect_lexicon(spark, d):
-    return classify.lexicon_hits(docs(spark, d))
+    return classify.lexicon_hits(docs(spark, d), sample=20000)
 
 
 @query()
