@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.terms import WORD
 from tessera.operators.ranking import bm25, rescaled, top_k
 from tessera.session import written
 
@@ -18,7 +19,7 @@ LEVELS = 32
 def beam_search(leaves: DataFrame, tree: DataFrame, query: str, beam: int = 3, k: int = 10) -> DataFrame:
     """The k best leaves (id, score, coverage, level) for a query, found by descending the best `beam` nodes of a level.
 
-    leaves (id, text); tree (id, layer, children). A node's text is its leaves' terms. The corpus that document
+    leaves (id, text); tree (id, layer, children). A node's text is its leaves' distinct words. The corpus that document
     frequencies refer to is the frontier, as the answer must be told apart from its siblings. A leaf scoring 0 is never
     returned, a node scoring 0 is expanded while the beam has room. An empty query gives no row."""
     spark = leaves.sparkSession
@@ -42,14 +43,14 @@ def beam_search(leaves: DataFrame, tree: DataFrame, query: str, beam: int = 3, k
 
 
 def _node_texts(leaves: DataFrame, tree: DataFrame) -> DataFrame:
-    """A node's text: the opening of each leaf below it, gathered layer by layer; a summary that stays small."""
-    texts = leaves.select("id", F.left("text", F.lit(320)).alias("text"))
+    """A node's text: the distinct words of all leaves below it, gathered layer by layer."""
+    texts = leaves.select("id", F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
     top = tree.agg(F.max("layer")).first()[0] or 0
     out = None
     for layer in range(1, top + 1):
         below = tree.where(F.col("layer") == layer).select(F.col("id").alias("parent"), F.explode("children").alias("id"))
-        nodes = below.join(texts, "id").groupBy("parent").agg(F.left(F.array_join(F.array_sort(F.collect_list("text")), " "), F.lit(2000)).alias("text")).select(F.col("parent").alias("id"), "text")
+        nodes = below.join(texts, "id").groupBy("parent").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words")).select(F.col("parent").alias("id"), "words")
         nodes = written(nodes, "summaries")
         out = nodes if out is None else out.unionByName(nodes)
         texts = texts.unionByName(nodes)
-    return out if out is not None else texts.limit(0)
+    return (out if out is not None else texts.limit(0)).select("id", F.array_join("words", " ").alias("text"))
