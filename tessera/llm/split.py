@@ -1,14 +1,14 @@
 """Splitting oversized items at natural boundaries.
 
 A hierarchy of separators, section, paragraph, line, sentence, word and character, is applied to a text only as deep
-as its parts need; the parts are packed greedily up to the limit, each piece opening with the end of the one before.
+as its parts need; the parts are packed greedily up to the limit, each piece opening with the last words of the one before.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,19 +26,57 @@ SEPARATORS = (
 )
 
 
-def cuts(pattern: re.Pattern, text: str, start: int, end: int) -> list[int]:
-    return [m.end() for m in pattern.finditer(text, start, end) if start < m.end() < end]
+LEVELS = tuple(name for name, _ in SEPARATORS) + ("character",)
+
+
+class Hierarchy:
+    """The places in a text where each level of separators cuts, found once for the whole text when a level is needed."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.places = text, {}
+
+    def cuts(self, level: int, start: int, end: int) -> list[int]:
+        if level not in self.places:
+            self.places[level] = [m.end() for m in SEPARATORS[level][1].finditer(self.text)]
+        places = self.places[level]
+        return places[bisect_right(places, start) : bisect_left(places, end)]
+
+    def parts(self, start: int, end: int, size: int, level: int = 0) -> Iterator[tuple[int, int, int]]:
+        """Consecutive spans of at most `size` characters, each with the level that ends it; a level is applied only to
+        what the levels above it leave too large."""
+        if level == len(SEPARATORS):
+            while end - start > size:
+                k = _hard_cut(self.text, start + size, start)
+                yield start, k, level
+                start = k
+            yield start, end, level
+            return
+        edges = [start, *self.cuts(level, start, end), end]
+        for a, b in zip(edges, edges[1:]):
+            if b - a <= size:
+                yield a, b, level
+            else:
+                yield from self.parts(a, b, size, level + 1)
+
+    def boundary(self, size: int) -> str:
+        """The level down to which the hierarchy must cut, from paragraphs on, to leave no part above `size` characters."""
+        deepest = LEVELS[max(level for _, _, level in self.parts(0, len(self.text), size, 1))]
+        return deepest if deepest in ("paragraph", "line", "sentence") else "none"
+
+    def opening(self, body: int, overlap: int) -> int:
+        """Where a piece opens whose body begins at `body`: at least `overlap` characters before it, at the start of a
+        word if one lies within as much again."""
+        at = body - overlap
+        if at <= 0:
+            return 0
+        for k in range(at, max(0, at - overlap), -1):
+            if self.text[k - 1].isspace() and not self.text[k].isspace():
+                return k
+        return _hard_cut(self.text, at, max(0, at - overlap))
 
 
 def natural_boundary(text: str, size: int) -> str:
-    """The first of paragraph, line and sentence whose cuts, at all places, leave no part above `size` characters."""
-    places: set[int] = set()
-    for name, pattern in SEPARATORS[1:4]:
-        places |= set(cuts(pattern, text, 0, len(text)))
-        edges = [0, *sorted(places), len(text)]
-        if max(b - a for a, b in zip(edges, edges[1:])) <= size:
-            return name
-    return "none"
+    return Hierarchy(text).boundary(size)
 
 
 def _hard_cut(text: str, at: int, start: int) -> int:
@@ -50,37 +88,22 @@ def _hard_cut(text: str, at: int, start: int) -> int:
     return at
 
 
-def _parts(text: str, start: int, end: int, size: int, level: int) -> Iterator[tuple[int, int, str]]:
-    """Consecutive spans of at most `size` characters, each with the separator that ends it."""
-    name = SEPARATORS[level][0] if level < len(SEPARATORS) else "character"
-    if name == "character":
-        while end - start > size:
-            k = _hard_cut(text, start + size, start)
-            yield start, k, name
-            start = k
-        yield start, end, name
-        return
-    edges = [start, *cuts(SEPARATORS[level][1], text, start, end), end]
-    for a, b in zip(edges, edges[1:]):
-        if b - a <= size:
-            yield a, b, name
-        else:
-            yield from _parts(text, a, b, size, level + 1)
-
-
-def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
-    """Pieces (from, body from, to, cut before): text[from:to] is at most `limit` characters; bodies tile the text."""
+def split_text(text: str, limit: int, overlap: int, hierarchy: Hierarchy | None = None) -> list[tuple[int, int, int, str]]:
+    """Pieces (from, body from, to, cut before): text[from:to] is at most `limit` characters; bodies tile the text.
+
+    Parts are packed greedily; each piece but the first opens with the end of the one before, `overlap` characters at
+    least and less than twice as many, from the start of a word where there is one."""
+    cut = hierarchy or Hierarchy(text)
     pieces: list[tuple[int, int, int, str]] = []
-    start = end = 0
+    opens = start = end = 0
     before = "start"
-    room = limit
-    for a, b, name in _parts(text, 0, len(text), limit - overlap, 0):
-        if b - start > room and end > start:
-            pieces.append((max(0, start - overlap) if pieces else 0, start, end, before))
-            start, before, room = a, last, limit - overlap
-        end, last = b, name
+    for a, b, level in cut.parts(0, len(text), limit - max(0, 2 * overlap - 1)):
+        if b - opens > limit and end > start:
+            pieces.append((opens, start, end, before))
+            opens, start, before = cut.opening(a, overlap) if overlap else a, a, last
+        end, last = b, LEVELS[level]
     if end > start:
-        pieces.append((max(0, start - overlap) if pieces else 0, start, end, before))
+        pieces.append((opens, start, end, before))
     return pieces
 
 
@@ -95,8 +118,8 @@ def _splitter(limit: int, overlap: int):
         for batch in batches:
             for row in batch.to_pylist():
                 text = row["text"]
-                pieces = split_text(text, limit, overlap)
-                boundary = natural_boundary(text, limit)
+                hierarchy = Hierarchy(text)
+                pieces, boundary = split_text(text, limit, overlap, hierarchy), hierarchy.boundary(limit)
                 lines = [m.start() for m in re.finditer("\n", text)]
                 out = [
                     (row["block_id"], row["source"], row["ord"], i, len(pieces), None if row["start_line"] is None else row["start_line"] + bisect_left(lines, a), body, body - a, cut, boundary, text[a:b])
@@ -112,7 +135,7 @@ def split_oversized(blocks: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tok
 
     Each piece, its overlap with the piece before included, has at most `max_tokens`; no piece leaves its block, so
     none crosses a hard boundary. `start_line` is the line on which the piece begins, null if the block's is null;
-    `boundary` the coarsest separator that alone would do. Redelivered block ids count once (the largest text);
+    `boundary` the level down to which the hierarchy has to cut. The overlap begins with a whole word where there is one. Redelivered block ids count once (the largest text);
     blocks with a null id count once per text. Null, blank and short texts give no piece; an empty table gives an empty
     result; extra columns are ignored.
     """
