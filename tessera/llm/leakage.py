@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, BUDGET = 12, 2
-#: Items to a pass over the corpus. Their words and pieces are what each task holds; further items take further passes.
-ITEMS_A_PASS = 50_000
+#: Items, and characters of items, to a pass over the corpus. Their words and pieces are what each task holds; further items take further passes.
+ITEMS_A_PASS, CHARS_A_PASS = 50_000, 16_000_000
+_BLOCKS: dict[str, Items] = {}  # the block a worker process read last, kept for its next tasks
 _GAP = re.compile(r"[\W_]+")
 _FOUND = "doc_id bigint, item_id bigint, distance int, windows int, words int"
 
@@ -94,9 +96,18 @@ class Items:
         return {i: (min(d), len(d)) for i, d in found.items()}
 
 
+def _block(token: str, items: list[tuple[int, str]], window: int, budget: int) -> Items:
+    if token not in _BLOCKS:
+        _BLOCKS.clear()
+        _BLOCKS[token] = Items(items, window, budget)
+    return _BLOCKS[token]
+
+
 def _finder(items: list[tuple[int, str]], window: int, budget: int):
+    token = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Items(items, window, budget)
+        block = _block(token, items, window, budget)
         names = [x.split()[0] for x in _FOUND.split(", ")]
         for batch in batches:
             out = []
@@ -114,7 +125,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, b
     """(doc_id, item_id, distance, windows, words): documents with a passage within `budget` word edits of `window`
     consecutive words of an item; the least distance and the number of the item's windows that are near.
 
-    Items are taken in blocks of ITEMS_A_PASS, each block a pass over the whole corpus without a shuffle; the held-out
+    Items are taken in blocks of at most ITEMS_A_PASS items and about CHARS_A_PASS characters, each block a pass over the whole corpus without a shuffle; the held-out
     set is what is broadcast, one block at a time. Items of fewer words than the window, null texts and null item ids
     give no row; repeated items count once (the largest text), repeated documents give repeated rows' result once.
     """
@@ -124,12 +135,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, b
     corpus = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     result = None
     block: list[tuple[int, str]] = []
-    finders = []
+    finders, chars = [], 0
     for row in unique.orderBy("item_id").toLocalIterator():
         block.append((row.item_id, row.text))
-        if len(block) == ITEMS_A_PASS:
+        chars += len(row.text)
+        if len(block) == ITEMS_A_PASS or chars >= CHARS_A_PASS:
             finders.append(_finder(block, window, budget))
-            block = []
+            block, chars = [], 0
     if block or not finders:
         finders.append(_finder(block, window, budget))
     for finder in finders:

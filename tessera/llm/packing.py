@@ -78,14 +78,20 @@ def _measure(tokens: Callable[[], Callable[[list[str]], list[int]]], capacity: i
     return run
 
 
-def byte_pair_counter(path: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> Callable[[], Callable[[list[str]], list[int]]]:
-    """Counts tokens of a public byte-pair vocabulary given as ranks; loaded once in each worker."""
+def byte_pair_counter(path: str) -> Callable[[], Callable[[list[str]], list[int]]]:
+    """Counts tokens of a public byte-pair vocabulary, given as a file of ranks that every worker can read; loaded once in each.
+
+    Without the file the task fails and names it; no other count takes its place."""
 
     def load() -> Callable[[list[str]], list[int]]:
         import base64
+        import os
 
         import tiktoken
 
+        if not os.path.exists(path):
+            raise FileNotFoundError(f"no vocabulary at {path}: pass the path of a file of byte-pair ranks that every worker can read")
+
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         # Fixed value: the pattern that the vocabulary's tokenizer splits text by.
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -95,14 +101,13 @@ def byte_pair_counter(path: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> Ca
     return load
 
 
-def pack(documents: DataFrame, counter: Callable[[], Callable[[list[str]], list[int]]] | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(documents: DataFrame, counter: Callable[[], Callable[[list[str]], list[int]]], capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, n_tokens, container): every piece of every document in one container of `capacity` tokens.
 
     A document is one piece unless it alone exceeds the capacity; then its full pieces take a container each and its
     rest is packed as an item. Empty and null texts have no token: piece 0, 0 tokens, a null container. Repeated rows
     are packed as often as they come; null ids are packed as well. Container ids are 0, 1, ... without gaps.
     """
-    counter = counter or byte_pair_counter()
     sized = written(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_measure(counter, capacity), _PIECES), "sizes")
     void = sized.where("size(pieces) = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).alias("n_tokens"), F.lit(None).cast("bigint").alias("container"))
     items = sized.select("doc_id", F.posexplode("pieces").alias("piece", "n_tokens"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.conversations import conversations, dropped_sessions
 from tessera.llm.leakage import leaked_items
-from tessera.llm.packing import pack
+from tessera.llm.packing import byte_pair_counter, pack
 from tessera.llm.pii import find_pii, redact_pii
 from tessera.llm.spans import shared_characters, shared_spans
 from tessera.llm.split import refreshed_chunks, split_oversized
 from tessera.session import table
 
+#: Where this machine has the vocabulary; a cluster passes its own path, as an environment variable.
+VOCABULARY = os.environ.get("TESSERA_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "blocks")).select("block_id", "boundary").distinct()
@@ -54,7 +59,7 @@ def p6_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), byte_pair_counter(VOCABULARY))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,9 @@ _SLAB = 1 << 20
 #: Rows of two hashes, under 10 MB in all, up to which they are broadcast.
 NARROW_ROWS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_CHUNKS = "doc_id bigint, text_id bigint, n_chars bigint, digests array<bigint>"
+#: A text is told by 128 bits of hash and its length.
+_TEXT = ["text_id", "text_id2", "n_chars"]
+_CHUNKS = "doc_id bigint, text_id bigint, text_id2 bigint, n_chars bigint, digests array<bigint>"
 _WINDOWS = "doc_id bigint, start array<int>, h1 array<bigint>, h2 array<smallint>"
 
 
@@ -143,14 +145,16 @@ def _chunker(span: int):
                 inside = np.flatnonzero(owner[1:] == owner[:-1])
                 digests = stretch_hashes(codes, found[inside] - GEAR + 1, found[inside + 1] + 1).view(np.int64)
                 offsets = np.searchsorted(owner[inside], np.arange(len(group) + 1)).astype(np.int32)
+                halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for _, t in group), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([d for d, _ in group], pa.int64()),
-                        pa.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for _, t in group], pa.int64()),
+                        pa.array(halves[:, 0]),
+                        pa.array(halves[:, 1]),
                         pa.array(sizes),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(digests)),
                     ],
-                    ["doc_id", "text_id", "n_chars", "digests"],
+                    ["doc_id", *_TEXT, "digests"],
                 )
 
     return run
@@ -196,14 +200,14 @@ def shared_windows(documents: DataFrame, span: int = SPAN) -> tuple[DataFrame, D
     every window of `span` characters that occurs in a document of another text, for one document of each text."""
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text").where(F.char_length("text") >= span)
     chunks = written(texts.mapInArrow(_chunker(span), _CHUNKS), "chunks")
-    groups = chunks.groupBy("text_id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    narrow = chunks.select("doc_id", "text_id", "n_chars").join(groups, "text_id").select("doc_id", "n_chars", (F.col("first") != F.col("last")).alias("copied"), (F.col("doc_id") == F.col("first")).alias("stands"))
+    groups = chunks.groupBy(*_TEXT).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    narrow = chunks.select("doc_id", *_TEXT).join(groups, _TEXT).select("doc_id", "n_chars", (F.col("first") != F.col("last")).alias("copied"), (F.col("doc_id") == F.col("first")).alias("stands"))
     # Digests within a text are made distinct before they leave it; the text, not the document, is what must differ.
     exploded = chunks.select("text_id", F.explode(F.array_distinct("digests")).alias("digest"))
     common = written(exploded.groupBy("digest").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a <> b").select("digest"), "common")
-    placed = chunks.select("doc_id", "text_id", F.posexplode("digests").alias("place", "digest"))
-    marked = placed.join(small(common), "digest").groupBy("doc_id", "text_id").agg(F.collect_list("place").alias("places"))
-    standing = written(marked.join(groups, "text_id").where("doc_id = first").select("doc_id", "places"), "marked")
+    placed = chunks.select("doc_id", *_TEXT, F.posexplode("digests").alias("place", "digest"))
+    marked = placed.join(small(common), "digest").groupBy("doc_id", *_TEXT).agg(F.collect_list("place").alias("places"))
+    standing = written(marked.join(groups, _TEXT).where("doc_id = first").select("doc_id", "places"), "marked")
     windows = texts.join(small(standing), "doc_id").select("doc_id", "text", "places").mapInArrow(_windower(span), _WINDOWS)
     hashed = written(windows.select("doc_id", F.explode(F.arrays_zip("start", "h1", "h2")).alias("w")).select("doc_id", "w.*"), "windows")
     # A window that occurs twice in all is known from the two ends of its group; only commoner ones are looked up again.

@@ -166,8 +166,8 @@ def test_fillings_use_every_item():
 def test_packing(spark):
     texts = ["word " * n for n in range(1, 200)] + ["", None, "many words " * 3000]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(5, texts[5], "x"), (None, "lost", "x")], "doc_id bigint, text string, piece string")
-    got = pack(docs, capacity=512).collect()
-    count = byte_pair_counter()()
+    got = pack(docs, byte_pair_counter(queries.VOCABULARY), 512).collect()
+    count = byte_pair_counter(queries.VOCABULARY)()
     size = {}
     for r in got:
         if r.container is not None:
@@ -179,7 +179,12 @@ def test_packing(spark):
         assert sum(r.n_tokens for r in own) == count([t])[0] * (2 if i == 5 else 1)
         assert i == 5 or len({(r.piece, r.container) for r in own}) == len(own)
     assert len([r for r in got if r.doc_id == 10]) == 1 and len([r for r in got if r.doc_id == 201]) > 5
-    assert pack(docs.limit(0)).count() == 0
+    assert pack(docs.limit(0), byte_pair_counter(queries.VOCABULARY)).count() == 0
+
+
+def test_a_missing_vocabulary_is_named():
+    with pytest.raises(FileNotFoundError, match="/no/such/file"):
+        byte_pair_counter("/no/such/file")()
 
 
 # ---------------------------------------------------------------- leaked items
@@ -247,6 +252,32 @@ def test_shared_spans_planted(spark):
     assert shared_characters(frame.limit(0)).count() == 0
 
 
+def test_nothing_is_broadcast_beyond_its_bound(spark, monkeypatch):
+    import tessera.llm.spans as spans
+    import tessera.session as session
+
+    want = {tuple(r) for r in queries.p9_found(spark, DATA).collect()}
+    monkeypatch.setattr(spans, "NARROW_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        result = queries.p9_found(spark, DATA)
+        assert {tuple(r) for r in result.collect()} == want
+        assert "Broadcast" not in result._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_items_in_several_passes(spark, monkeypatch):
+    import tessera.llm.leakage as leakage
+
+    want = {tuple(r) for r in queries.p8_found(spark, DATA).collect()}
+    monkeypatch.setattr(leakage, "CHARS_A_PASS", 6000)
+    assert {tuple(r) for r in queries.p8_found(spark, DATA).collect()} == want
+
+
 def test_every_shared_window_is_a_candidate():
     pick = np.random.default_rng(1)
     common = pick.integers(97, 105, 260)
