@@ -27,32 +27,44 @@ def latest_links(entries: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.max(F.struct("timestamp", "parent")).alias("top")).select("id", F.nullif(F.col("top.parent"), F.lit("")).alias("parent"))
 
 
-def _hop(active: DataFrame, state: DataFrame, paths: bool) -> DataFrame:
-    """One doubling: each active row goes on from where the row it points at has come to."""
-    to = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("dist").alias("_dist"), F.col("low").alias("_low"), F.col("done").alias("_done"), *([F.col("path").alias("_path")] if paths else []))
-    more = [F.concat("path", "_path").alias("path")] if paths else []
-    return active.join(to, "at").select("id", F.col("_at").alias("at"), (F.col("dist") + F.col("_dist")).alias("dist"), F.least("low", "_low").alias("low"), F.col("_done").alias("done"), *more)
+def _state(df: DataFrame, paths: bool) -> list[str]:
+    return ["id", "at", "dist", "low", "done", *(["path"] if paths else [])]
+
+
+def _hop(active: DataFrame, side: DataFrame, paths: bool) -> DataFrame:
+    """One doubling: each active row goes on from where the row it points at has come to. `_via` has that row where it
+    is done, as another row may point at it in the next round."""
+    fields = _state(side, paths)
+    to = side.select(F.col("id").alias("at"), F.struct(*fields).alias("_to"))
+    more = [F.concat("path", "_to.path").alias("path")] if paths else []
+    return active.join(to, "at").select(
+        "id", F.col("_to.at").alias("at"), (F.col("dist") + F.col("_to.dist")).alias("dist"), F.least("low", "_to.low").alias("low"), F.col("_to.done").alias("done"), *more, F.when(F.col("_to.done"), F.col("_to")).alias("_via")
+    )
 
 
 def _double(state: DataFrame, label: str, paths: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Doubles until only rows on or below cycles are left: (rows that arrived, rows that cannot)."""
-    state = written(state, label)
-    finished, active = [state.where("done")], state.where("not done")
+    """Doubles until only rows on or below cycles are left: (rows that arrived, rows that cannot).
+
+    What is pointed at in a round was pointed at in the round before, by the row half way: so a round reads the rows
+    that were still walking and those they had reached, no others, and rounds shrink as rows arrive."""
+    fields = _state(state, paths)
+    state = written(state.select(*fields), label)
+    arrived, active, side = [state.where("done")], state.where("not done"), state
     left = active.count()
     while left:
-        both = active
-        for part in finished:
-            both = both.unionByName(part)
-        after = written(_hop(active, both, paths), label)
-        finished.append(after.where("done"))
-        active = after.where("not done")
+        after = written(_hop(active, side, paths), label)
+        arrived.append(after.where("done").select(*fields))
+        active = after.where("not done").select(*fields)
         now, left = left, active.count()
         if left == now:  # a chain that ends loses rows in every round; these only turn
             break
-    arrived = finished[0]
-    for part in finished[1:]:
-        arrived = arrived.unionByName(part)
-    return arrived, active if left else None
+        if left:
+            reached = after.where("_via is not null").groupBy("_via.id").agg(F.any_value("_via").alias("_v")).select("_v.*")
+            side = after.select(*fields).unionByName(reached)  # apart: what was done before the round did not walk in it
+    done = arrived[0]
+    for part in arrived[1:]:
+        done = done.unionByName(part)
+    return done, active if left else None
 
 
 def _cycle_roots(turning: DataFrame, label: str) -> DataFrame:
@@ -60,7 +72,7 @@ def _cycle_roots(turning: DataFrame, label: str) -> DataFrame:
     turning = turning.select("id", "at", "dist", "low", "done")
     count, steps = turning.count(), 1
     while steps < count:  # the rows have gone at least one step already; then as many as there are rows
-        turning = written(_hop(turning, turning, False), label)
+        turning = written(_hop(turning, turning, False).drop("_via"), label)
         steps *= 2
     on = turning.select(F.col("id").alias("at"), F.col("low").alias("root"))
     return turning.select("id", "at").join(on, "at").select("id", "root")
