@@ -36,12 +36,12 @@ def normalize(c: Column) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.when(c.rlike(r"^[^!-~]|[^!-~]$"), F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")).otherwise(c)
 
 
 def collapsed(c: Column) -> Column:
-    """White space trimmed and each inner run made one space."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    """White space trimmed and each inner run made one space; plain ASCII without such runs is passed through."""
+    return F.when(c.rlike(r"^ |  | $|[^ -~]"), F.trim(F.regexp_replace(c, f"{SPACE}+", " "))).otherwise(c)
 
 
 def estimate_tokens(c: Column) -> Column:

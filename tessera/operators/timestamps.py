@@ -1,7 +1,7 @@
 """Timestamps in many formats, precisions and zones, brought to one UTC form.
 
-Distinct (raw string, zone) pairs form a dictionary that is parsed once, may be kept on disk and
-extended by later batches, and is joined back to the rows.
+Distinct (source, raw string, zone) entries form a dictionary that is parsed once, may be kept on disk and extended by
+later batches, and is joined back to the rows.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ LETTERS = {
     "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600,
 }
 
+#: Code points beyond which no known form goes; a longer string names no time.
+LONGEST = 100
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?"
 _ZONE = r"((?:[+-]\d{2}:?(?:\d{2})?)?\[[A-Za-z_/+-]+\d*\]|[+-]\d{2}:?(?:\d{2})?|[A-Za-z]+(?:/[A-Za-z_+-]+\d*)*)?"
 _HALF = r"(?:\s*([AaPp])\.?[Mm]\.?)?"
@@ -46,13 +48,15 @@ _FORMATS = (
     (rf"^(?:\p{{L}}+\.?,?\s+)?(\d{{1,2}})\.?\s+(?:de\s+)?(\p{{L}}+)\.?,?\s+(?:del?\s+)?(\d{{4}}|\d{{2}})(?:,?\s+(?:a\s+las\s+|at\s+)?{_CLOCK}{_HALF})?\s*{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7|$8"),
     (rf"^(?:\p{{L}}+,\s+)?(\p{{L}}+)\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})(?:,?\s+(?:at\s+)?{_CLOCK}{_HALF})?\s*{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8"),
 )
+#: The commonest form, which the engine's own parser reads: ISO with seconds and an offset.
+_PLAIN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-5][0-9](?:\.[0-9]{1,9})?(?:Z|[+-](?:0[0-9]|1[0-7]):[0-5][0-9])$"
 _ALONE = r"^[0-9]+$"
 _HAS_ZONE = r"(?i)^[0-9]+$|[+-]\d{2}:?\d{2}(?:\[[^\]]+\])?$|[+-]\d{2}$|\]$|\d\s*Z$|[\dm.]\s+(?:[a-z]+/[a-z_/+-]+\d*)$|[\dm.]\s*(?:%s)$" % "|".join(LETTERS)
 
 
 def zone_ids(spark: SparkSession) -> list[str]:
-    """All region names that the JVM knows, some hundreds."""
-    return sorted(spark._jvm.java.util.ArrayList(spark._jvm.java.time.ZoneId.getAvailableZoneIds()))
+    """All region names that the JVM knows, some hundreds, fetched in one call."""
+    return sorted(spark._jvm.java.lang.String.join(",", spark._jvm.java.time.ZoneId.getAvailableZoneIds()).split(","))
 
 
 def names_zone(raw: Column) -> Column:
@@ -75,17 +79,21 @@ def parse_distinct(pairs: DataFrame, raw: str = "raw", zone: str = "zone") -> Da
     20yy; a bare date is midnight; fractions are dropped. A fallback zone that is null or unknown is UTC. A clock
     time that occurs twice is the earlier instant; a skipped one is read with the offset before the change.
     """
-    zones = F.lit(zone_ids(pairs.sparkSession))
-    text = trimmed(F.col(raw))
+    zones = ", ".join(f"'{z}'" for z in zone_ids(pairs.sparkSession))
+    known_zone = lambda c: F.expr(f"{c} in ({zones})")  # noqa: E731  # parsed in one call, looked up in a hash set
+    known = set(pairs.columns)
+    pairs = pairs.withColumn("_text", trimmed(F.col(raw)))
+    text = F.col("_text")
+    plain = F.when(text.rlike(_PLAIN), F.unix_seconds(text.try_cast("timestamp")))
     digits = F.when(text.rlike(_ALONE), text)
     size = F.length(digits)
     unit = F.when(size <= 11, 1).when(size <= 14, 1_000).when(size <= 17, 1_000_000).otherwise(1_000_000_000)
-    epoch = F.floor(digits.try_cast("decimal(38,0)") / unit).try_cast("bigint")
-    form = F.when(digits.isNull() & (F.length(text) <= 100), text)
+    epoch = F.coalesce(plain, F.floor(digits.try_cast("decimal(38,0)") / unit).try_cast("bigint"))
+    df = pairs.withColumn("_epoch", epoch)
+    form = F.when(F.col("_epoch").isNull() & (F.length(text) <= LONGEST), text)
     for pattern, order in _FORMATS:
         form = F.regexp_replace(form, pattern, order)
-    known = set(pairs.columns)
-    df = pairs.withColumns({"_epoch": epoch, "_p": F.split(form, r"\|")})
+    df = df.withColumn("_p", F.split(form, r"\|"))
     df = df.withColumn("_p", F.when(F.size("_p") == 8, F.col("_p")))
     part = lambda i: F.col("_p")[i]
     month_words = _map({w: str(i + 1) for i, words in enumerate(MONTHS) for w in words.split()})
@@ -119,8 +127,8 @@ def parse_distinct(pairs: DataFrame, raw: str = "raw", zone: str = "zone") -> Da
     )
     clock = F.try_make_timestamp_ntz(F.col("_y"), F.col("_mo"), F.col("_d"), hour, F.col("_mi"), F.col("_s").cast("decimal(16,6)"))
     df = df.withColumn("_local", F.unix_date(clock.cast("date")).cast("bigint") * 86400 + F.hour(clock) * 3600 + F.minute(clock) * 60 + F.second(clock))
-    given = trimmed(F.col(zone))
-    region = F.when(F.array_contains(zones, F.col("_named")), F.col("_named")).when(F.col("_named").isNull() & F.array_contains(zones, given), given).when(F.col("_named").isNull(), "UTC")
+    df = df.withColumn("_given", trimmed(F.col(zone)))
+    region = F.when(known_zone("_named"), F.col("_named")).when(F.col("_named").isNull() & known_zone("_given"), F.col("_given")).when(F.col("_named").isNull(), "UTC")
     local = F.col("_local")
     at_region = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), region))
     df = df.withColumn("epoch", F.coalesce("_epoch", F.when(F.col("_offset").isNotNull(), local - F.col("_offset") * 60).otherwise(at_region)))
@@ -137,34 +145,44 @@ def utc_text(epoch: Column) -> Column:
 
 
 def update_dictionary(pairs: DataFrame, path: str | None = None) -> DataFrame:
-    """Parses the distinct (raw, zone) pairs that the dictionary at `path` lacks, appends them and returns it all.
+    """Parses the distinct (source, raw, zone) entries that the dictionary at `path` lacks, appends them and returns it all.
 
-    Without a path the dictionary lives in the session's shared folder for this call. Null and blank raw strings
-    are no entries; unreadable ones are, with a null epoch, so that no later batch parses them again.
+    `source` tells where a string comes from and may be left out. Without a path the dictionary lives in the session's
+    shared folder for this call. Null and blank raw strings are no entries; unreadable ones are, with a null epoch, so
+    that no later batch parses them again. An entry that a repeated or concurrent append has stored twice comes out once.
     """
-    spark = pairs.sparkSession
-    distinct = pairs.select("raw", F.coalesce("zone", F.lit("")).alias("zone")).where(F.col("raw").isNotNull() & (trimmed(F.col("raw")) != "")).distinct()
+    spark, keys = pairs.sparkSession, ["source", "raw", "zone"]
+    source = F.coalesce("source", F.lit("")) if "source" in pairs.columns else F.lit("")
+    distinct = pairs.select(source.alias("source"), "raw", F.coalesce("zone", F.lit("")).alias("zone")).where(F.col("raw").isNotNull() & (trimmed(F.col("raw")) != "")).distinct()
     if path is None:
         return written(parse_distinct(distinct), "instants")
     jvm = spark._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
-    old = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
-    if old:
-        distinct = distinct.join(spark.read.parquet(path).select("raw", "zone"), ["raw", "zone"], "left_anti")
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        distinct = distinct.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
     parse_distinct(distinct).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).groupBy(*keys).agg(F.max("epoch").alias("epoch"))
+
+
+#: Join keys that rows without a readable string are spread over, as all of them are alike.
+_SPREAD = 1024
 
 
-def normalize_instants(rows: DataFrame, raw: str, zone: str | None = None, out: str = "epoch", path: str | None = None) -> DataFrame:
+def normalize_instants(rows: DataFrame, raw: str, zone: str | None = None, out: str = "epoch", path: str | None = None, source: str | None = None) -> DataFrame:
     """`rows` with `out`: epoch seconds of column `raw` read in the fallback zone of column `zone`, or null.
 
     Every row stays, repeated ones too; other columns are untouched whatever their names. An empty table gives an
-    empty table. The zone is part of the dictionary's key only for strings that name none themselves.
+    empty table. The zone is part of the dictionary's key only for strings that name none themselves; the column
+    `source`, if given, always is.
     """
     fallback = F.coalesce(trimmed(F.col(zone)), F.lit("")) if zone else F.lit("")
-    keyed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), F.col(raw).alias("raw"), F.when(F.col(raw).isNull() | names_zone(F.col(raw)), "").otherwise(fallback).alias("zone"))
-    entries = update_dictionary(keyed.select("raw", "zone"), path).where(F.col("epoch").isNotNull())
-    joined = keyed.join(entries, ["raw", "zone"], "left")
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    origin = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
+    keyed = rows.select(whole.alias("_row"), F.col(raw).alias("raw"), F.when(F.col(raw).isNull() | names_zone(F.col(raw)), "").otherwise(fallback).alias("zone"), origin.alias("source"))
+    entries = update_dictionary(keyed.select("source", "raw", "zone"), path).where(F.col("epoch").isNotNull())
+    void = F.col("raw").isNull() | (F.trim("raw") == "")
+    spread = keyed.withColumn("zone", F.when(void, F.concat(F.lit("\0"), F.pmod(F.xxhash64("_row"), F.lit(_SPREAD)).cast("string"))).otherwise(F.col("zone"))).withColumn("raw", F.coalesce("raw", F.lit("")))
+    joined = spread.join(entries, ["source", "raw", "zone"], "left")
     return joined.select(*[F.col("_row")[c].alias(c) for c in rows.columns if c != out], F.col("epoch").alias(out))
 
 

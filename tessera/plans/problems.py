@@ -12,7 +12,7 @@ from tessera.session import table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fact_history(table(spark, sf_dir, "facts")).select("subject", "attribute", "valid_from").distinct()
+    return fact_history(table(spark, sf_dir, "facts")).select("subject", "attribute", "valid_from")
 
 
 def p2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = records.unionByName(rows("leaves", "leaf", "leaf_id", F.lit(None).cast("string"), "timestamp"))
     zoned = with_session_zone(records.where("rec_key is not null and raw is not null"), table(spark, sf_dir, "sessions"))
     utc = utc_text(F.col("epoch"))
-    return normalize_instants(zoned.drop("session_id"), "raw", "_zone").select("kind", "rec_key", utc.alias("utc")).where("utc is not null").distinct()
+    return normalize_instants(zoned.drop("session_id"), "raw", "_zone", source="kind").select("kind", "rec_key", utc.alias("utc")).where("utc is not null").distinct()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,34 @@ def test_several_snapshots_merge(spark):
     assert got == [("e", "a", 1, 3), ("e", "b", 3, 5), ("e", "d", 5, None), ("f", "x", 2, None)]
 
 
+@pytest.mark.parametrize("parts", ["1", "7", "40"])
+def test_versions_over_many_bounds(spark, parts):
+    """Bounds inside entities, inside instants and inside repeated rows change nothing."""
+    pick = random.Random(11)
+    rows = [("hot" if pick.random() < 0.6 else f"e{pick.randrange(30)}", pick.randrange(25), f"p{pick.randrange(2)}", pick.choice([None, "1", "2", "3"])) for _ in range(2000)]
+    rows += [("hot", 7, "p9", "9")] * 700 + [("e5", 9, "only", "1")] * 300
+    best = {}
+    for e, i, p, t in rows:
+        best[e, i] = max(best.get((e, i), ("", "")), (t or "", p))
+    expected, last = [], None
+    for (e, i), (_, p) in sorted(best.items()):
+        if last and last[0] == e and last[1] == p:
+            continue
+        if last and last[0] == e:
+            expected[-1][3] = i
+        expected.append([e, p, i, None])
+        last = e, p
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.createDataFrame(rows, "entity string, instant bigint, payload string, tie string").repartition(5)
+        got = [[r.entity, r.payload, r.valid_from, r.valid_to] for r in merge_versions([frame]).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got, key=lambda x: x[:3]) == sorted(expected, key=lambda x: x[:3])
+
+
 def test_timestamps_against_brute_force(spark):
     found = {tuple(r) for r in problems.p3_found(spark, DATA).collect()}
     zones = {s["id"]: s["tz"] for s in rows("sessions") if s["tz"]}
@@ -126,6 +154,11 @@ def test_dictionary_grows(spark, tmp_path):
     assert update_dictionary(one, path).count() == 2
     two = spark.createDataFrame([("2024-01-01", ""), ("2024-01-02", ""), (None, None)], "raw string, zone string")
     assert {r.raw for r in update_dictionary(two, path).collect()} == {"2024-01-01", "pending", "2024-01-02"}
+    spark.read.parquet(path).limit(3).write.mode("append").parquet(str(tmp_path / "again"))
+    spark.read.parquet(str(tmp_path / "again")).write.mode("append").parquet(path)  # as after a repeated append
+    rows = spark.createDataFrame([("2024-01-01", 1), ("2024-01-01", 2), (None, 3), ("", 3)], "raw string, n int")
+    assert sorted((r.n, r.epoch) for r in normalize_instants(rows, "raw", path=path).collect() if r.n < 3) == [(1, 1704067200), (2, 1704067200)]
+    assert normalize_instants(rows, "raw", path=path, source="n").count() == 4
 
 
 def test_hierarchy_against_brute_force(spark):
