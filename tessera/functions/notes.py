@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.calendar import MONTHS
 from tessera.functions.text import collapsed, trimmed, truncate
 
-#: Month words by month, English and Spanish, as they stand in dates inside prose.
-MONTH_WORDS = "enero january jan|febrero february feb|marzo march mar|abril april apr|mayo may|junio june jun|julio july jul|agosto august aug|septiembre setiembre september sep sept|octubre october oct|noviembre november nov|diciembre december dec"
-_MONTHS = {w: str(i + 1) for i, words in enumerate(MONTH_WORDS.split("|")) for w in words.split()}
+#: Month words, English and Spanish, as they stand in dates inside prose.
+_MONTHS = {word: str(number) for number, words in enumerate(MONTHS, 1) for word in words.split() if word not in ("ene", "abr", "ago", "dic")}
+#: The shapes of dates in prose.
 ISO = r"(?U)\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
 DMY = r"(?iU)\b(\d{1,2})\s*(?:de\s+|\.|\s)\s*([A-Za-zÀ-ÿ]{3,12})\.?\s*(?:de\s+|,\s*|\s)\s*(\d{4})\b"
 MDY = r"(?iU)\b([A-Za-zÀ-ÿ]{3,12})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b"
@@ -125,3 +126,28 @@ def gist(content: Column, limit: int = 90) -> Column:
 
 def project_of(directory: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(directory, "/+$", ""), "/"), -1)
+
+
+def first_meaningful_line(text: Column, limit: int = 70) -> Column:
+    """The first line with anything in it, trimmed and shortened; empty where there is none, null for null."""
+    full = F.filter(F.split(text, r"\r\n|[\n\r]"), lambda x: x.rlike(r"\S"))
+    return F.when(text.isNotNull(), F.coalesce(truncate(F.try_element_at(full, F.lit(1)), limit), F.lit("")))
+
+
+def short_symbol(title: Column) -> Column:
+    """A title without the file before its dot and without the word that says what kind of symbol it names."""
+    return F.regexp_replace(F.element_at(F.split(title, " · "), -1), r"^(?:async\s+)?(?:def|function|class|method|record|interface|enum)\s+", "")
+
+
+#: What makes a line of a tool's output worth keeping.
+DIGEST = "(?i)error|fail|exception|traceback|caused by|warn|panic|fatal|build (?:success|failure)|tests? run|passed|skipped|assert|expected|✗|✘"
+
+
+def digest_lines(documents: DataFrame, key: str = "doc_id", first: int = 3, last: int = 5) -> DataFrame:
+    """(key, pos, line): of the lines with content the first and last few and those that DIGEST knows; of lines that repeat
+    the first. Null texts give no row. How many characters are shown in the end is the reader's affair."""
+    rows = documents.select(key, F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("pos", "line")).where(F.col("line").rlike(r"[^\s]"))
+    up, down = Window.partitionBy(key).orderBy("pos"), Window.partitionBy(key).orderBy(F.desc("pos"))
+    marked = rows.withColumns({"a": F.row_number().over(up), "b": F.row_number().over(down)})
+    kept = marked.where((F.col("a") <= first) | (F.col("b") <= last) | F.col("line").rlike(DIGEST))
+    return kept.groupBy(key, "line").agg(F.min("pos").alias("pos"), F.count("*").alias("times"))

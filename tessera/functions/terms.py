@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize
@@ -63,8 +63,46 @@ def term_counts(df: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     return kept.groupBy(*ids, "term").agg(F.sum("_n").alias("tf"))
 
 
-def keywords(df: DataFrame, ids: list[str], text: str = "text", top_k: int = 12) -> DataFrame:
-    """(ids..., keywords): the most frequent terms of each text, ties in alphabetical order, joined by spaces."""
-    counts = term_rows(df, ids, text).groupBy(*ids, "term").agg(F.count("*").alias("n"))
-    ranked = counts.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))).alias("t"))
-    return ranked.select(*ids, F.array_join(F.slice(F.col("t")["term"], 1, top_k), " ").alias("keywords"))
+def top_terms(counts: DataFrame, ids: list[str], top_k: int) -> DataFrame:
+    """(ids..., keywords): of rows (ids..., term, n) the most frequent terms, ties in alphabetical order, joined by spaces.
+
+    All but the first `top_k` of a group are dropped before it is gathered, however large its vocabulary."""
+    by = Window.partitionBy(*ids).orderBy(F.desc("n"), "term")
+    kept = counts.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= top_k)
+    return kept.groupBy(*ids).agg(F.array_join(F.array_sort(F.collect_list(F.struct("_r", "term")))["term"], " ").alias("keywords"))
+
+
+def keywords(df: DataFrame, ids: list[str], text: str = "text", top_k: int = 12, code: bool = False, boost: str | None = None) -> DataFrame:
+    """(ids..., keywords): the most frequent content terms of each text. Terms of the column `boost` count twice more each."""
+    counts = term_rows(df, ids, text, code=code).groupBy(*ids, "term").agg(F.count("*").alias("n"))
+    if boost:
+        more = term_rows(df, ids, boost, code=code).groupBy(*ids, "term").agg((2 * F.count("*")).alias("n"))
+        counts = counts.unionByName(more).groupBy(*ids, "term").agg(F.sum("n").alias("n"))
+    return top_terms(counts, ids, top_k)
+
+
+#: Words with a capital, and identifiers with an inner one.
+CAPITALS, INNER = r"(?U)\b[A-ZÀ-Ü][\wÀ-ɏ]{2,}\b", r"\b[A-Za-z_][A-Za-z0-9_]*[A-Z][A-Za-z0-9_]*\b"
+
+
+def entity_rows(df: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
+    """(ids..., entity): capital words that are no stop words, and identifiers; a word of both kinds comes twice."""
+    words = F.regexp_extract_all(F.col(text), F.lit(CAPITALS), F.lit(0))
+    kept = F.filter(words, lambda w: ~normalize(w).isin(*STOP))
+    return df.select(*ids, F.explode(F.concat(kept, F.regexp_extract_all(F.col(text), F.lit(INNER), F.lit(0)))).alias("entity"))
+
+
+def entities(df: DataFrame, ids: list[str], text: str = "text", limit: int = 12) -> DataFrame:
+    """(ids..., entity, n, rank): the most frequent entities of each text, ties in alphabetical order."""
+    counts = entity_rows(df, ids, text).groupBy(*ids, "entity").agg(F.count("*").alias("n"))
+    by = Window.partitionBy(*ids).orderBy(F.desc("n"), "entity")
+    return counts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+
+
+def ordered_distinct(rows: DataFrame, ids: list[str], item: str, order: list[str], limit: int | None = None) -> DataFrame:
+    """(ids..., items): the items of each group in order, the first of those that are equal when normalised; blanks drop."""
+    bare = rows.where(F.col(item).isNotNull() & (F.trim(item) != ""))
+    first = bare.groupBy(*ids, normalize(F.col(item)).alias("_n")).agg(F.min(F.struct(*order, F.col(item).alias("_item"))).alias("_f"))
+    if limit is not None:
+        first = first.withColumn("_r", F.row_number().over(Window.partitionBy(*ids).orderBy("_f"))).where(F.col("_r") <= limit)
+    return first.groupBy(*ids).agg(F.array_sort(F.collect_list("_f"))["_item"].alias("items"))

@@ -76,13 +76,32 @@ def fragments(turns: DataFrame, budget: int = 600) -> DataFrame:
     return rows.repartition("session_id").sortWithinPartitions("session_id", "ord").mapInArrow(_fragmenter(budget), _FRAGMENTS)
 
 
-def high_water(messages: DataFrame) -> DataFrame:
-    """(session_id, last_id, messages): how far each session has been read; null sessions and ids do not count."""
-    rows = messages.where("session_id is not null and id is not null")
-    return rows.groupBy("session_id").agg(F.max("id").alias("last_id"), F.count_distinct("id").alias("messages"))
-
-
-def unread(messages: DataFrame, marks: DataFrame) -> DataFrame:
-    """Messages beyond the mark of their session, or of sessions without one."""
-    rows = messages.join(marks.select("session_id", "last_id"), "session_id", "left")
-    return rows.where("last_id is null or id > last_id").drop("last_id")
+def high_water(messages: DataFrame, key: str = "session_id") -> DataFrame:
+    """(key, last_instant, last_id, messages): how far each session has been read, by (instant, id); rows (key, id, instant
+    in bigint). Null sessions, ids and instants do not count."""
+    rows = messages.where(F.col(key).isNotNull() & F.col("id").isNotNull() & F.col("instant").isNotNull())
+    top = F.max(F.struct("instant", "id"))
+    return rows.groupBy(key).agg(top.alias("_t"), F.count_distinct("id").alias("messages")).select(key, F.col("_t.instant").alias("last_instant"), F.col("_t.id").alias("last_id"), "messages")
+
+
+def unread(messages: DataFrame, marks: DataFrame, key: str = "session_id") -> DataFrame:
+    """Messages beyond the mark of their session, of sessions without one, or without an instant, which no mark covers."""
+    rows = messages.join(marks.select(key, "last_instant", "last_id"), key, "left")
+    beyond = (F.col("instant") > F.col("last_instant")) | (F.col("instant") == F.col("last_instant")) & (F.col("id") > F.col("last_id"))
+    return rows.where(F.col("last_instant").isNull() | F.col("instant").isNull() | beyond).drop("last_instant", "last_id")
+
+
+def filled_times(turns: DataFrame) -> DataFrame:
+    """turns (session_id, ord, timestamp, ...) with `last_seen`, the latest timestamp that stands at or before each in its
+    session's order. Stretches of `ord` carry it over, so that a large session is spread over many tasks."""
+    rows = turns.withColumn("_slot", F.floor(F.col("ord") / SLOT))
+    inner = F.last("timestamp", ignorenulls=True).over(Window.partitionBy("session_id", "_slot").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    tops = rows.groupBy("session_id", "_slot").agg(F.max_by("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("ord"))).alias("_top"))
+    before = Window.partitionBy("session_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(F.col("session_id").alias("_s"), F.col("_slot").alias("_t"), F.last("_top", ignorenulls=True).over(before).alias("_carry"))
+    return rows.withColumn("_inner", inner).join(carried, F.col("session_id").eqNullSafe(F.col("_s")) & F.col("_slot").eqNullSafe(F.col("_t")), "left").withColumn("last_seen", F.coalesce("_inner", "_carry")).drop("_slot", "_inner", "_carry", "_s", "_t")
+
+
+def totals(fragments: DataFrame) -> DataFrame:
+    """One row of what was captured: sessions, fragments, turns, tokens."""
+    return fragments.agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("fragments"), F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))

@@ -87,6 +87,14 @@ def lexicon_hits(documents: DataFrame, sample: int | None = None) -> DataFrame:
     return hits.groupBy("doc_id", "kind", "name").agg(F.sum("n").alias("hits"), F.count("*").alias("distinct_hits"))
 
 
+def best_topics(documents: DataFrame, least: int = 3) -> DataFrame:
+    """(doc_id, topic, n): the topic with the most words in a text, `least` at least; ties by the order of TOPICS."""
+    order = F.create_map(*[F.lit(x) for i, t in enumerate(TOPICS) for x in (t, -i)])
+    hits = lexicon_hits(documents).where("kind = 'topic'")
+    best = hits.groupBy("doc_id").agg(F.max(F.struct("hits", F.element_at(order, F.col("name")).alias("o"), "name")).alias("b"))
+    return best.where(F.col("b.hits") >= least).select("doc_id", F.col("b.name").alias("topic"), F.col("b.hits").alias("n"))
+
+
 def code_score(text: Column) -> Column:
     total = sum((F.regexp_count(text, F.lit(p)) * w for p, w in CODE_SIGNS), F.lit(0.0))
     return total * 100.0 / F.greatest(F.lit(1), F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))))
@@ -105,8 +113,8 @@ def code_line_share(text: Column) -> Column:
 def detect(documents: DataFrame) -> DataFrame:
     """(doc_id, data_type, domain, confidence, language, score): the type with the largest score, GENERIC under 2.
 
-    Ties go to the type named first in: CODE, CLINICAL, PROCESS, PERSONAL, NARRATIVE. Null texts read as empty; a
-    document id counts once."""
+    Ties go to the type named first in: CODE, CLINICAL, PROCESS, PERSONAL, NARRATIVE. Null texts read as empty. A
+    document id stands for one row: rows that share one are judged by the words of all of them."""
     order = ["CODE", *TYPES]
     whole = F.coalesce("text", F.lit(""))
     docs = documents.where("doc_id is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), whole.alias("s"))

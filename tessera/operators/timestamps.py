@@ -9,24 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.calendar import MONTHS
 from tessera.functions.text import trimmed
 from tessera.session import written
 
-#: Month words of English and Spanish, by month.
-MONTHS = (
-    "january jan enero ene",
-    "february feb febrero",
-    "march mar marzo",
-    "april apr abril abr",
-    "may mayo",
-    "june jun junio",
-    "july jul julio",
-    "august aug agosto ago",
-    "september sep sept septiembre setiembre",
-    "october oct octubre",
-    "november nov noviembre",
-    "december dec diciembre dic",
-)
 #: Zone letters and their offsets in minutes.
 LETTERS = {
     "z": 0, "utc": 0, "gmt": 0, "ut": 0, "wet": 0, "west": 60, "bst": 60, "cet": 60, "mez": 60, "cest": 120, "mesz": 120, "eet": 120,

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import notes, terms, text
-from tessera.operators import capture, chunking, classify, facts, ranking, search, store, summaries, tree
+from tessera.operators import capture, chunking, classify, facts, index, ranking, search, store, summaries, tree
 from tessera.operators.hierarchy import hierarchy, latest_links
 from tessera.operators.timestamps import utc_text
-from tessera.session import table
+from tessera.plans import problems
+from tessera.session import shared_dir, table, written
+from tessera.streaming.capture import streamed_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +31,10 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def doc_index(spark: SparkSession, d: str) -> index.Index:
+    return index.table_index(spark, d, "documents")
+
+
 def _list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -92,15 +98,12 @@ def keywords_per_doc(spark, d):
     return terms.keywords(docs(spark, d), ["doc_id"])
 
 
-@query()
+@query(rf"""with e as (
+      select doc_id, unnest(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+'), lambda x: regexp_matches(x, '^[A-ZÀ-Ü]') and length(x) >= 3 and lower(strip_accents(x)) not in ({_list(terms.STOP)}))) as entity from documents
+      union all select doc_id, unnest(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{Nd}}_]+'), lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*[A-Z][A-Za-z0-9_]*'))) from documents)
+    select doc_id, entity, n, rank from (select *, row_number() over (partition by doc_id order by n desc, entity) as rank from (select doc_id, entity, count(*) as n from e group by doc_id, entity)) where rank <= 12""")
 def entities_per_doc(spark, d):
-    word = F.regexp_extract_all("text", F.lit(r"(?U)\b[A-ZÀ-Ü][\wÀ-ɏ]{2,}\b"), F.lit(0))
-    inner = F.regexp_extract_all("text", F.lit(r"\b[A-Za-z_][A-Za-z0-9_]*[A-Z][A-Za-z0-9_]*\b"), F.lit(0))
-    kept = F.filter(word, lambda w: ~text.normalize(w).isin(*terms.STOP))
-    rows = docs(spark, d).select("doc_id", F.explode(F.concat(kept, inner)).alias("entity"))
-    counts = rows.groupBy("doc_id", "entity").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("doc_id").orderBy(F.desc("n"), "entity")
-    return counts.withColumn("rank", F.row_number().over(by)).where("rank <= 12")
+    return terms.entities(docs(spark, d), ["doc_id"]).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(r"""select doc_id, case when length(t) <= 320 then t else rtrim(left(t, 319)) || '…' end as excerpt from (select doc_id, trim(regexp_replace(text, '%s+', ' ', 'g')) as t from documents)""" % WS)
@@ -135,18 +138,18 @@ def redact_documents(spark, d):
     return docs(spark, d).select("doc_id", F.md5(notes.redact_secrets(F.col("text"))).alias("redacted"))
 
 
-DIGEST = "(?i)error|fail|exception|traceback|caused by|warn|panic|fatal|build (?:success|failure)|tests? run|passed|skipped|assert|expected|✗|✘"
-
-
 @query(rf"""with l as (select doc_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) as line, generate_subscripts(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) as pos from documents),
     k as (select *, row_number() over (partition by doc_id order by pos) as a, row_number() over (partition by doc_id order by pos desc) as b from l where regexp_matches(line, '[^\s]'))
-    select doc_id, count(*) as kept, count(distinct line) as kept_distinct from k where a <= 3 or b <= 5 or regexp_matches(line, '{DIGEST}') group by doc_id""")
+    select doc_id, count(*) as kept, count(distinct line) as kept_distinct from k where a <= 3 or b <= 5 or regexp_matches(line, '{notes.DIGEST}') group by doc_id""")
 def digest_lines(spark, d):
-    rows = docs(spark, d).select("doc_id", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("pos", "line")).where(F.col("line").rlike(r"[^\s]"))
-    up, down = Window.partitionBy("doc_id").orderBy("pos"), Window.partitionBy("doc_id").orderBy(F.desc("pos"))
-    marked = rows.withColumns({"a": F.row_number().over(up), "b": F.row_number().over(down)})
-    kept = marked.where((F.col("a") <= 3) | (F.col("b") <= 5) | F.col("line").rlike(DIGEST))
-    return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.count_distinct("line").alias("kept_distinct"))
+    return notes.digest_lines(docs(spark, d)).groupBy("doc_id").agg(F.sum("times").alias("kept"), F.count("*").alias("kept_distinct"))
+
+
+@query(f"""select doc_id, string_agg(t, chr(10) order by p) as kept from (select doc_id, lower(strip_accents(t)) as n, arg_min(t, p) as t, min(p) as p from (
+    select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as p from documents) where trim(t, ' ') <> '' group by 1, 2) group by doc_id""")
+def dedupe_lines(spark, d):
+    rows = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "t"))
+    return terms.ordered_distinct(rows, ["doc_id"], "t", ["p"]).select("doc_id", F.array_join("items", "\n").alias("kept"))
 
 
 @query("""select leaf_id, string_agg(t, ' ' order by p) as tags from (
@@ -154,9 +157,8 @@ def digest_lines(spark, d):
         select leaf_id, unnest(v) as t, generate_subscripts(v, 1) as p from (select leaf_id, list_concat(max(tags), max(keywords)) as v from leaves group by leaf_id)) where t <> '' group by leaf_id, lower(strip_accents(t))) group by leaf_id""")
 def dedupe_tags(spark, d):
     once = table(spark, d, "leaves").groupBy("leaf_id").agg(F.concat(F.max("tags"), F.max("keywords")).alias("v"))
-    rows = once.select("leaf_id", F.posexplode("v").alias("p", "t")).where("t <> ''")
-    first = rows.groupBy("leaf_id", text.normalize(F.col("t")).alias("n")).agg(F.min(F.struct("p", "t")).alias("f"))
-    return first.groupBy("leaf_id").agg(F.array_join(F.array_sort(F.collect_list("f"))["t"], " ").alias("tags"))
+    rows = once.select("leaf_id", F.posexplode("v").alias("p", "t"))
+    return terms.ordered_distinct(rows, ["leaf_id"], "t", ["p"]).select("leaf_id", F.array_join("items", " ").alias("tags"))
 
 
 # ---------------------------------------------------------------- dates
@@ -224,24 +226,24 @@ _ONE = f"(select cast(1 as bigint) as item_id, '{ASKED}' as text)"
 
 @query(f"with {_bm25_sql(_ONE)} select doc_id, score, coverage from scored order by score desc, doc_id limit 20")
 def bm25_topk(spark, d):
-    return ranking.bm25(docs(spark, d), _asked(spark)).select("doc_id", "score", "coverage").orderBy(F.desc("score"), "doc_id").limit(20)
+    return ranking.bm25(doc_index(spark, d), _asked(spark)).select("doc_id", "score", "coverage").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(f"with {_bm25_sql('eval_items')} select item_id, doc_id, score, coverage, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored) where rank <= 3")
 def bm25_batch_queries(spark, d):
-    return ranking.top_k(ranking.bm25(docs(spark, d), table(spark, d, "eval_items")), 3)
+    return ranking.top_k(ranking.bm25(doc_index(spark, d), table(spark, d, "eval_items")), 3)
 
 
 @query(f"with {_bm25_sql('eval_items')}, x as (select item_id, doc_id, round(score * (0.05 + coverage * coverage), 6) as score from scored) select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from x) where rank <= 3")
 def coverage_rescale(spark, d):
-    return ranking.top_k(ranking.rescaled(ranking.bm25(docs(spark, d), table(spark, d, "eval_items"))).drop("coverage"), 3)
+    return ranking.top_k(ranking.rescaled(ranking.bm25(doc_index(spark, d), table(spark, d, "eval_items"))).drop("coverage"), 3)
 
 
 @query(f"""with {_bm25_sql('eval_items')}, w as (select *, row_number() over o as rn, lead(score) over o as nxt, first_value(score) over o as best from scored window o as (partition by item_id order by score desc, doc_id)),
     tt as (select item_id, count(*) filter (score >= best * 0.82) as near_ties from w group by item_id)
     select item_id, score as best_score, round(least(1.0, 0.6 * coverage + 0.4 * (case when nxt is null then 1.0 else (score - nxt) / nullif(score, 0) end)), 4) as confidence, coverage < 0.3 as weak, near_ties from w join tt using (item_id) where rn = 1""")
 def confidence_margin(spark, d):
-    return ranking.confidence(ranking.bm25(docs(spark, d), table(spark, d, "eval_items")))
+    return ranking.confidence(ranking.bm25(doc_index(spark, d), table(spark, d, "eval_items")))
 
 
 _SPLIT_ITEMS = "(select item_id, left(text, length(text) // 2) as text from eval_items)", "(select item_id, substr(text, length(text) // 2 + 1) as text from eval_items)"
@@ -257,17 +259,17 @@ def _halves(spark: SparkSession, d: str) -> list[DataFrame]:
     select coalesce(x.item_id, y.item_id) as item_id, coalesce(x.doc_id, y.doc_id) as doc_id, round((coalesce(x.score, 0.0) + coalesce(y.score, 0.0)) * case when x.score > 0 and y.score > 0 then 1.6 else 0.7 end, 6) as score
     from (with {_bm25_sql(_SPLIT_ITEMS[0])} select * from scored) x full join (with {_bm25_sql(_SPLIT_ITEMS[1])} select * from scored) y on x.item_id = y.item_id and x.doc_id = y.doc_id)) where rank <= 3""")
 def bm25_two_groups(spark, d):
-    return ranking.top_k(ranking.two_groups(docs(spark, d), *_halves(spark, d)), 3)
+    return ranking.top_k(ranking.two_groups(doc_index(spark, d), *_halves(spark, d)).drop("coverage"), 3)
 
 
-_LEAF_TEXT = "(select leaf_id as doc_id, repeat(title || ' ', 3) || ' ' || repeat(array_to_string(keywords, ' ') || ' ', 3) || ' ' || repeat(replace(array_to_string(tags, ' '), ':', ' ') || ' ', 2) || ' ' || left(content, 320) as text from (select leaf_id, max(title) as title, max(keywords) as keywords, max(tags) as tags, max(content) as content from leaves group by leaf_id))"
+_LEAF_TEXT = "(select leaf_id as doc_id, repeat(title || ' ', 3) || ' ' || repeat(array_to_string(keywords, ' ') || ' ', 3) || ' ' || repeat(replace(array_to_string(tags, ' '), ':', ' ') || ' ', 2) || ' ' || content as text from (select leaf_id, max(title) as title, max(keywords) as keywords, max(tags) as tags, max(content) as content from leaves group by leaf_id))"
 _FIELDS = f"with {_bm25_sql(_ONE)} select doc_id, score, coverage from scored order by score desc, doc_id limit 20".replace("from documents", f"from {_LEAF_TEXT}")
 
 
 @query(_FIELDS)
 def bm25_field_weighted(spark, d):
-    leaves = table(spark, d, "leaves").groupBy(F.col("leaf_id").alias("doc_id")).agg(F.max("title").alias("title"), F.array_join(F.max("keywords"), " ").alias("keywords"), F.replace(F.array_join(F.max("tags"), " "), F.lit(":"), F.lit(" ")).alias("tags"), F.left(F.max("content"), F.lit(320)).alias("excerpt"))
-    text_column = ranking.weighted_text(leaves, {"title": 3, "keywords": 3, "tags": 2, "excerpt": 1})
+    leaves = table(spark, d, "leaves").groupBy(F.col("leaf_id").alias("doc_id")).agg(F.max("title").alias("title"), F.array_join(F.max("keywords"), " ").alias("keywords"), F.replace(F.array_join(F.max("tags"), " "), F.lit(":"), F.lit(" ")).alias("tags"), F.max("content").alias("content"))
+    text_column = ranking.weighted_text(leaves, {"title": 3, "keywords": 3, "tags": 2, "content": 1})
     return ranking.bm25(leaves.select("doc_id", text_column.alias("text")), _asked(spark)).select("doc_id", "score", "coverage").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
@@ -287,23 +289,47 @@ def best_formulation(spark, d):
     return ranking.best_formulation(asked)
 
 
-@query()
+_JUDGED_SQL = """w as (select *, row_number() over o as rn, lead(score) over o as nxt, first_value(score) over o as best from scored window o as (partition by item_id order by score desc, doc_id)),
+    tt as (select item_id, count(*) filter (score >= best * 0.82) as near_ties from w group by item_id),
+    judged as (select item_id, score as best_score, round(least(1.0, 0.6 * coverage + 0.4 * (case when nxt is null then 1.0 else (score - nxt) / nullif(score, 0) end)), 4) as confidence, coverage < 0.3 as weak, near_ties from w join tt using (item_id) where rn = 1)"""
+
+
+@query(f"with {_bm25_sql('eval_items')}, {_JUDGED_SQL} select item_id, reason from (select item_id, case when not weak then nullif(concat_ws('; ', case when confidence < 0.45 then 'low confidence' end, case when near_ties > 1 and n_terms <= 2 then 'underspecified' end), '') end as reason from judged join qs using (item_id)) where reason is not null")
 def clue_requests(spark, d):
     items = table(spark, d, "eval_items")
     sizes = terms.term_rows(items, ["item_id"]).groupBy("item_id").agg(F.count_distinct("term").alias("n_terms"))
-    return ranking.clue_needed(ranking.confidence(ranking.bm25(docs(spark, d), items)), sizes)
+    return ranking.clue_needed(ranking.confidence(ranking.bm25(doc_index(spark, d), items)), sizes)
 
 
-@query()
-def summaries_per_doc(spark, d):
-    return summaries.summarize(docs(spark, d))
+@query(f"with {_bm25_sql('eval_items')}, b as (select item_id, max(score) as best from scored group by item_id) select s.item_id, count(*) as ties, count(distinct source) as n_branches from scored s join b on b.item_id = s.item_id and s.score >= b.best * 0.82 join documents using (doc_id) group by s.item_id")
+def near_ties(spark, d):
+    branches = docs(spark, d).select("doc_id", F.col("source").alias("branch"))
+    return ranking.near_ties(ranking.bm25(doc_index(spark, d), table(spark, d, "eval_items")), branches)
+
+
+@query(f"with {_bm25_sql('eval_items')}, {_JUDGED_SQL} select item_id, best_score from judged where weak")
+def weak_matches(spark, d):
+    return ranking.confidence(ranking.bm25(doc_index(spark, d), table(spark, d, "eval_items"))).where("weak").select("item_id", "best_score")
+
+
+@query(f"""with {_bm25_sql('eval_items')}, t5 as (select * from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored) where rank <= 5),
+    c as (select d.doc_id as old, max(e.doc_id) as new from documents d join documents e on e.text = d.text and e.doc_id > d.doc_id group by d.doc_id),
+    b as (select item_id, doc_id as old, new, score, coverage from t5 join c on c.old = t5.doc_id where rank = 1),
+    f as (select b.item_id, b.new as doc_id, greatest(b.score, coalesce(x.score, b.score)) as score, greatest(b.coverage, coalesce(x.coverage, b.coverage)) as coverage, 0 as rank, b.old as replaces from b left join t5 x on x.item_id = b.item_id and x.doc_id = b.new),
+    u as (select item_id, doc_id, score, coverage, rank, cast(null as bigint) as replaces from t5 where not exists (select 1 from b where b.item_id = t5.item_id and b.new = t5.doc_id) union all select * from f)
+    select item_id, cast(doc_id as varchar) as id, score, coverage, row_number() over (partition by item_id order by rank) as rank, cast(replaces as varchar) as replaces from u""")
+def current_first(spark, d):
+    """Copies of a text stand for corrections of it here: the newest of them goes first."""
+    best = ranking.top_k(ranking.bm25(doc_index(spark, d), table(spark, d, "eval_items")), 5).withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
+    texts = docs(spark, d).select(F.sha2("text", 256).alias("t"), "doc_id")
+    newest = texts.groupBy("t").agg(F.max("doc_id").alias("new"), F.count("*").alias("n")).where("n > 1")
+    pairs = texts.join(newest, "t").where("doc_id < new").select(F.col("doc_id").cast("string").alias("old"), F.col("new").cast("string").alias("new"))
+    return search.current_first(best, facts.successors(pairs))
 
 
 @query()
-def tree_outline(spark, d):
-    rows = table(spark, d, "catalog_entries")
-    paths = hierarchy(latest_links(rows), paths=True)
-    return summaries.outline(tree.latest_entries(rows), paths.select("id", "path"))
+def summaries_per_doc(spark, d):
+    return summaries.summarize(docs(spark, d))
 
 
 # ---------------------------------------------------------------- facts
@@ -351,19 +377,51 @@ def facts_notices(spark, d):
     return facts.notices(fact_rows(spark, d))
 
 
-@query()
+def _rules_sql() -> str:
+    """Each rule's pattern in the other engine's dialect, where U would mean something else; flags m as in both."""
+    plain = lambda p: p.replace("(?iUmd)", "(?im)").replace("(?iU)", "(?i)").replace("'", "''")
+    found = " union all ".join(f"select leaf_id, timestamp, content, '{a}' as attribute, unnest(regexp_extract_all(content, '{plain(p)}', 1)) as value from src" for a, p in facts.RULES)
+    patient = f"coalesce(nullif({_trim_sql(chr(39).join(['regexp_extract(content, ', plain(facts.PATIENT), ', 1)']))}, ''), 'patient')"
+    flat = f"trim(regexp_replace({_trim_sql('value')}, '{WS}+', ' ', 'g'))"
+    cut = f"case when length({flat}) <= 120 then {flat} else rtrim(left({flat}, 119)) || '…' end"
+    key = f"concat_ws('|', concat_ws('::', {NORM.format('subject')}, attribute), {NORM.format('value')}, coalesce(timestamp, ''))"
+    return f"""with src as (select leaf_id, timestamp, content from leaves union all select cast(turn_id as varchar), timestamp, text from turns), f as ({found}),
+        r as (select leaf_id, timestamp, attribute, case when attribute in ({_list(facts.CLINICAL)}) then {patient} else 'user' end as subject, {cut} as value from f where {_trim_sql('value')} <> '')
+        select distinct leaf_id, subject, attribute, value, 'F-' || left(sha256({key}), 10) as fact_id from r"""
+
+
+@query(_rules_sql())
 def facts_extract_rules(spark, d):
     said = table(spark, d, "turns").select(F.col("turn_id").cast("string").alias("leaf_id"), "timestamp", F.col("text").alias("content"))
     return facts.extract(table(spark, d, "leaves").select("leaf_id", "timestamp", "content").unionByName(said))
 
 
-@query("""with e as (select leaf_id as old, max(superseded_by) as new from leaves where superseded_by is not null and leaf_id is not null and leaf_id <> superseded_by group by leaf_id),
-    c1 as (select old as id, new as c, 1 as h from e),
-    c2 as (select id, coalesce(case when e.new <> id then e.new end, c) as c, h + case when e.new <> id then 1 else 0 end as h from c1 left join e on e.old = c),
-    c3 as (select id, coalesce(case when e.new <> id then e.new end, c) as c, h + case when e.new <> id then 1 else 0 end as h from c2 left join e on e.old = c),
-    c4 as (select id, coalesce(case when e.new <> id then e.new end, c) as c, h + case when e.new <> id then 1 else 0 end as h from c3 left join e on e.old = c),
-    c5 as (select id, coalesce(case when e.new <> id then e.new end, c) as c, h + case when e.new <> id then 1 else 0 end as h from c4 left join e on e.old = c)
-    select id, c as current, cast(h as integer) as hops from c5""")
+@query(f"with {_KEYED_SQL} select fact_id, key, value, epoch from k")
+def facts_dedup(spark, d):
+    return facts.keyed(fact_rows(spark, d)).select("fact_id", "key", "value", "epoch")
+
+
+@query(f"with {_KEYED_SQL} select key, fact_id, nx - epoch as seconds from (select *, lead(epoch) over (partition by key order by epoch nulls first, fact_id) as nx from k) where epoch is not null and nx is not null")
+def facts_interval_join(spark, d):
+    rows = facts.next_in_key(facts.keyed(fact_rows(spark, d)), ["epoch"])
+    return rows.where("epoch is not null and next_epoch is not null").select("key", "fact_id", (F.col("next_epoch") - F.col("epoch")).alias("seconds"))
+
+
+@query(f"with {_KEYED_SQL} select key, fact_id, row_number() over (partition by key order by epoch nulls first, fact_id) - 1 as rank from k")
+def ts_sort_nulls_first(spark, d):
+    rows = facts.keyed(fact_rows(spark, d)).select("key", "fact_id", "epoch")
+    return ranking.rank_in_groups(rows, ["key"], ["epoch", "fact_id"]).select("key", "fact_id", "rank")
+
+
+@query(f"with {_KEYED_SQL} select key, count(*) as n, string_agg(fact_id, ' ' order by epoch nulls first, fact_id) as ids from k group by key")
+def facts_history_grouped(spark, d):
+    return facts.timelines(fact_rows(spark, d)).select("key", F.size("values").cast("bigint").alias("n"), F.array_join(F.transform("values", lambda x: x["fact_id"]), " ").alias("ids"))
+
+
+@query("""with recursive e as (select leaf_id as old, max(superseded_by) as new from leaves where superseded_by is not null and leaf_id is not null and leaf_id <> superseded_by group by leaf_id),
+    w as (select old as id, new as nx, [old] as path from e union all select w.id, e.new, list_append(w.path, w.nx) from w join e on e.old = w.nx where not list_contains(w.path, w.nx)),
+    ends as (select id, arg_max(nx, len(path)) as nx, arg_max(path, len(path)) as path from w group by id)
+    select id, case when list_contains(path, nx) then list_min(path[list_position(path, nx):]) else nx end as current, cast(case when list_contains(path, nx) then -1 else len(path) end as integer) as hops from ends""")
 def successor_chain(spark, d):
     return facts.successors(table(spark, d, "leaves").select(F.col("leaf_id").alias("old"), F.col("superseded_by").alias("new")))
 
@@ -397,6 +455,35 @@ def build_all_layers(spark, d):
     return built.select("id", "layer", "domain", "timestamp", "ts_start", "leaf_count", F.size("children").cast("bigint").alias("children"))
 
 
+@query(f"with {_layers_sql(1)} select id, layer, domain, timestamp, ts_start, leaf_count, children from l1")
+def build_layer1(spark, d):
+    leaves = entries(spark, d).where("layer = 0")
+    built = tree.build_layer(leaves.select("id", "domain", "timestamp", F.col("timestamp").alias("ts_start"), "leaf_count"), 1)
+    return built.select("id", "layer", "domain", "timestamp", "ts_start", "leaf_count", F.size("children").cast("bigint").alias("children"))
+
+
+_ALL_LAYERS = " union all ".join(f"select id, layer, domain, timestamp, ts_start, leaf_count from l{k}" for k in range(1, 7))
+
+
+@query(f"with {_layers_sql(6)} select domain, layer, count(*) as nodes, cast(sum(leaf_count) as bigint) as leaves from ({_ALL_LAYERS}) group by domain, layer")
+def tree_rollup_counts(spark, d):
+    return tree.build_tree(entries(spark, d).where("layer = 0")).groupBy("domain", "layer").agg(F.count("*").alias("nodes"), F.sum("leaf_count").alias("leaves"))
+
+
+@query(f"with {_layers_sql(6)} select domain, layer, min(ts_start) as first, max(timestamp) as last from ({_ALL_LAYERS}) group by domain, layer")
+def tree_time_range(spark, d):
+    return tree.build_tree(entries(spark, d).where("layer = 0")).groupBy("domain", "layer").agg(F.min("ts_start").alias("first"), F.max("timestamp").alias("last"))
+
+
+@query(f"""with recursive {_layers_sql(6)}, m as (select b.id as child, n.id as parent, n.layer from ({" union all ".join(f"select id, domain, g, coalesce(timestamp, '') as ts, {k} as layer from b{k}" for k in range(1, 7))}) b
+      join ({" union all ".join(f"select distinct domain, g, {k} as layer, 'N{k}-' || {_slug_sql('domain', 24)} || '-' || left(sha256(string_agg(id, '|' order by coalesce(timestamp, ''), id) over (partition by domain, g order by coalesce(timestamp, ''), id rows between unbounded preceding and unbounded following)), 10) as id from b{k}" for k in range(1, 7))}) n using (domain, g, layer)),
+    r as (select parent as id, child as leaf from m where layer = 1 union all select m.parent, r.leaf from r join m on m.child = r.id)
+    select id, count(*) as leaves, count(distinct leaf) as distinct_leaves from r group by id""")
+def reachable_leaves(spark, d):
+    below = tree.leaves_below(tree.build_tree(entries(spark, d).where("layer = 0")))
+    return below.groupBy("id").agg(F.count("*").alias("leaves"), F.count_distinct("leaf").alias("distinct_leaves"))
+
+
 @query(f"with {_layers_sql(1)} select id, domain from l0 where id not in (select id from b1)")
 def unreached_leaves(spark, d):
     leaves = entries(spark, d).where("layer = 0")
@@ -412,10 +499,7 @@ def stats_grouping_sets(spark, d):
 
 @query(f"with {_LATEST_SQL} select a.domain, count(*) as top_nodes, cast(sum(a.leaf_count) as bigint) as leaf_count, min(nullif(a.timestamp, '')) as first, max(nullif(a.timestamp, '')) as last from c a left join c p on p.id = nullif({_trim_sql('a.parent_id')}, '') where p.id is null group by a.domain")
 def trunk_domains(spark, d):
-    rows = entries(spark, d)
-    parents = rows.select(F.col("id").alias("_p"))
-    top = rows.withColumn("_up", F.nullif(text.trimmed(F.col("parent_id")), F.lit(""))).join(parents, F.col("_up") == F.col("_p"), "left_anti")
-    return top.groupBy("domain").agg(F.count("*").alias("top_nodes"), F.sum("leaf_count").alias("leaf_count"), F.min(F.nullif("timestamp", F.lit(""))).alias("first"), F.max(F.nullif("timestamp", F.lit(""))).alias("last"))
+    return tree.trunk(entries(spark, d))
 
 
 @query(f"""select domain, string_agg(term, ' ' order by n desc, term) as topics from (select *, row_number() over (partition by domain order by n desc, term) as r from (
@@ -424,12 +508,41 @@ def topics_per_domain(spark, d):
     return terms.keywords(docs(spark, d).select(F.coalesce("domain", F.lit("")).alias("domain"), "text"), ["domain"], top_k=5).withColumnRenamed("keywords", "topics")
 
 
+_TREE_SQL = f"""{_LATEST_SQL}, """ + problems.LINKS_SQL
+
+
+@query(f"with recursive {_TREE_SQL} select array_to_string(down.path, '/') as path, repeat('  ', len(down.path) - 1) || title || ' (' || cast(leaf_count as varchar) || ')' as line from down join c using (id) where len(down.path) <= 3")
+def tree_outline(spark, d):
+    rows = table(spark, d, "catalog_entries")
+    paths = hierarchy(latest_links(rows), paths=True)
+    return summaries.outline(tree.latest_entries(rows), paths.select("id", "path"))
+
+
+@query(f"with recursive {_TREE_SQL} select id, array_to_string(list_append(list_reverse(path), 'root'), '/') as path from down")
+def path_to_root(spark, d):
+    """Of each id that has a root the way up to it."""
+    paths = hierarchy(latest_links(table(spark, d, "catalog_entries")), paths=True).where("path is not null")
+    return paths.select("id", F.array_join(F.concat(F.reverse("path"), F.array(F.lit("root"))), "/").alias("path"))
+
+
+@query(f"with recursive {_TREE_SQL} select c.id from c where layer = 0 and id not in (select id from down)")
+def reachability_violations(spark, d):
+    """Leaves that no way leads to from a root, as they are on or below a loop of parents."""
+    lost = hierarchy(latest_links(table(spark, d, "catalog_entries"))).where("depth < 0").select("id")
+    return entries(spark, d).where("layer = 0").select("id").join(lost, "id", "left_semi")
+
+
 # ---------------------------------------------------------------- store
 @query(f"with {_LATEST_SQL} select id, source from c where (status is null or status <> 'HISTORICAL') and left(timestamp, 10) >= '2024-06-01' and (not regexp_matches(lower(coalesce(source, '')), '{store.CODE_PATH}') or not regexp_matches(coalesce(source, ''), '{store.TEST_PATH}'))")
 def admissible_main(spark, d):
     return store.admissible(entries(spark, d), "main", since="2024-06-01").select("id", "source")
 
 
+@query(f"with {_LATEST_SQL} select id, regexp_matches(lower(coalesce(source, '')), '{store.CODE_PATH}') as code, regexp_matches(coalesce(source, ''), '{store.TEST_PATH}') as test from c")
+def scope_test_main(spark, d):
+    return entries(spark, d).select("id", store.looks_like_code(F.col("source")).alias("code"), store.looks_like_test(F.col("source")).alias("test"))
+
+
 @query(f"with {_LATEST_SQL} select id, timestamp, status, parent_id from c")
 def upsert_latest(spark, d):
     rows = table(spark, d, "catalog_entries").withColumn("id", text.trimmed(F.col("id"))).where("id <> ''")
@@ -510,26 +623,62 @@ def paragraphs(spark, d):
     return rows.select("doc_id", "part", F.md5("text").alias("text_md5"), F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
 
 
+def _parts_sql(starts: str, more: str = "") -> str:
+    return f"""with {_LINES_SQL}, f as (select *, regexp_replace(text, '[\r\n]+$', '') as bare from l), g as (select *, sum(case when {starts} then 1 else 0 end) over (partition by doc_id order by line) as part{more} from f)"""
+
+
+_ENTRY_RE, _CLINICAL_RE = (p.replace("(?iU)", "(?i)").replace("'", "''") for p in (chunking.ENTRY, chunking.CLINICAL))
+_HEADING_RE = r"^\s*#{1,6}\s+\S|^\s*[A-ZÀ-Ü][^:\n]{2,58}:\s*$|(?i:^\s*(?:paso|step|fase|phase|etapa|stage)\s*\d+)"
+
+
+@query(_parts_sql(f"regexp_matches(bare, '{_ENTRY_RE}') or regexp_matches(bare, '{_CLINICAL_RE}')") + " select doc_id, cast(part as bigint) as part, md5(string_agg(text, '' order by line)) as text_md5, cast(min(line) as bigint) as start_line, cast(max(line) as bigint) as end_line from g group by doc_id, part")
+def temporal_entries(spark, d):
+    rows = chunking.entries(docs(spark, d), clinical=True)
+    return rows.select("doc_id", "part", F.md5("text").alias("text_md5"), F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
+
+
 @query()
 def dated_entries(spark, d):
     return chunking.entries(docs(spark, d).where("data_type in ('PERSONAL', 'CLINICAL')"), clinical=True)
 
 
-@query()
+@query(_parts_sql(f"regexp_matches(bare, '{_HEADING_RE}') and not regexp_matches(bare, '" + r"^\s*(?:[-*•]|\d{1,3}[.)])\s+\S" + "')", r", regexp_matches(bare, '^\s*#{1,2}\s') as top") + " select doc_id, cast(part as bigint) as part, md5(string_agg(text, '' order by line)) as text_md5, cast(min(line) as bigint) as start_line, cast(max(line) as bigint) as end_line, bool_or(top) as hard from g group by doc_id, part")
 def sections(spark, d):
-    return chunking.sections(docs(spark, d))
+    rows = chunking.sections(docs(spark, d))
+    return rows.select("doc_id", "part", F.md5("text").alias("text_md5"), F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), "hard")
 
 
-@query("select cast(doc_id as bigint) as doc_id from documents where false")
+@query(r"""select doc_id, len(string_split(t, chr(1))) as sentences, md5(t) as cut_md5 from (select doc_id, regexp_replace(text, '([.!?…])([\s\x0b]+["''“¿¡(\[]?[A-ZÀ-Ü0-9])', '\1' || chr(1) || '\2', 'g') as t from documents where text <> '')""")
+def sentences_exact(spark, d):
+    rows = chunking.sentences(docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.array_join(F.array_sort(F.collect_list(F.struct("pos", "text")))["text"], "\x01").alias("t"))
+    return rows.select("doc_id", "sentences", F.md5("t").alias("cut_md5"))
+
+
+def _whole(rows: DataFrame, order: list[str]) -> DataFrame:
+    return rows.groupBy("doc_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.struct(*order, "text")))["text"], "")).alias("text_md5"))
+
+
+_CUTTERS = "paragraphs sections entries sentences long_paragraphs code_units symbols typed_blocks chunks".split()
+
+
+@query("select doc_id, cutter, md5(text) as text_md5 from documents, (values " + ", ".join(f"('{c}')" for c in _CUTTERS) + ") v(cutter) where text <> '' and regexp_matches(text, '[^\\s]')")
 def lossless_violations(spark, d):
-    """Documents that their paragraphs, sections, entries or sentences do not reproduce: none."""
-    base = docs(spark, d).where("text <> ''").select("doc_id", F.md5("text").alias("want"))
-    bad = None
-    for rows, order in ((chunking.paragraphs, "part"), (chunking.sections, "part"), (chunking.entries, "part"), (chunking.sentences, "pos")):
-        joined = rows(docs(spark, d)).groupBy("doc_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.struct(order, "text")))["text"], "")).alias("got"))
-        one = base.join(joined, "doc_id", "left").where("got is null or got <> want").select("doc_id")
-        bad = one if bad is None else bad.unionByName(one)
-    return bad.distinct()
+    """What each way of cutting gives when its parts are put together again: the text."""
+    base = docs(spark, d).where(F.col("text").rlike(r"\S"))
+    typed = chunking.blocks_by_type(base, symbols=True)
+    blocks = typed.select(F.xxhash64("doc_id", "ord").alias("block_id"), F.col("doc_id").cast("string").alias("source"), "ord", "text", "title", "start_line", "end_line", "kind", "tags", "timestamp", "hard_boundary", "context")
+    blocks = written(blocks, "blocks")
+    chunks = chunking.fused(blocks, chunking.pack_each(blocks)).select(F.col("source").cast("bigint").alias("doc_id"), "chunk", "text")
+    made = {
+        "paragraphs": (chunking.paragraphs(base), ["part"]), "sections": (chunking.sections(base), ["part"]), "entries": (chunking.entries(base), ["part"]), "sentences": (chunking.sentences(base), ["pos"]),
+        "long_paragraphs": (chunking.split_long(chunking.paragraphs(base), 60, 100), ["part", "piece"]), "code_units": (chunking.code_units(base), ["unit"]), "symbols": (chunking.code_units(base, 60), ["unit"]),
+        "typed_blocks": (typed, ["ord"]), "chunks": (chunks, ["chunk"]),
+    }
+    out = None
+    for name, (rows, order) in made.items():
+        one = _whole(rows, order).select("doc_id", F.lit(name).alias("cutter"), "text_md5")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()
@@ -554,6 +703,31 @@ def detect_lexicon(spark, d):
     return classify.lexicon_hits(docs(spark, d), sample=20000)
 
 
+_CODE_RE = [(p.replace("(?md)", "(?m)").replace("(?U)", "").replace("'", "''"), w) for p, w in classify.CODE_SIGNS]
+_CODE_SQL = " + ".join(f"{w} * len(regexp_extract_all(text, '{p}'))" for p, w in _CODE_RE)
+_STRONG, _WEAK = ("|".join(f"(?:{p})" for p, w in _CODE_RE if (w >= 2) is strong) for strong in (True, False))
+
+
+@query(f"select doc_id, round(({_CODE_SQL}) * 100.0 / greatest(1, length(text) - length(replace(text, chr(10), ''))), 6) as code from documents")
+def detect_scores(spark, d):
+    return docs(spark, d).select("doc_id", F.round(classify.code_score(F.col("text")), 6).alias("code"))
+
+
+@query(rf"""with l as (select doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\f\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) as line from documents), c as (select doc_id, line from l where regexp_matches(line, '[^\s\x0b\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]')),
+    s as (select doc_id, count(*) as n, count(*) filter (regexp_matches(line, '{_STRONG}') or regexp_matches(line, '{_WEAK}') and len(string_split(trim(regexp_replace(line, '\s+', ' ', 'g')), ' ')) <= 8) as k from c group by doc_id)
+    select doc_id, round(coalesce(cast(k as double) / n, 0), 6) as share from documents left join s using (doc_id)""")
+def code_line_share(spark, d):
+    return docs(spark, d).select("doc_id", F.round(classify.code_line_share(F.col("text")), 6).alias("share"))
+
+
+_TOPIC_ORDER = "case name " + " ".join(f"when '{t}' then {i}" for i, t in enumerate(classify.TOPICS)) + " end"
+
+
+@query(f"select doc_id, topic, n from (select doc_id, name as topic, hits as n, row_number() over (partition by doc_id order by hits desc, {_TOPIC_ORDER}) as r from ({_lexicon_sql().replace('left(text, 20000)', 'text')}) where kind = 'topic') where r = 1 and n >= 3")
+def detect_domain(spark, d):
+    return classify.best_topics(docs(spark, d))
+
+
 @query()
 def detect_type(spark, d):
     return classify.detect(docs(spark, d))
@@ -587,9 +761,22 @@ def turn_render(spark, d):
     return rows.select("turn_id", F.md5(notes.render_turn(F.coalesce("role", F.lit("")), F.col("text"), F.col("actions"))).alias("rendered")).distinct()
 
 
-@query("select session_id, max(id) as last_id, count(distinct id) as messages from messages where session_id is not null and id is not null group by session_id")
+@query("select directory, max(time_created) as last_instant, arg_max(id, struct_pack(t := time_created, i := id)) as last_id, count(distinct id) as messages from sessions where directory is not null and id is not null and time_created is not null group by directory")
 def session_high_water(spark, d):
-    return capture.high_water(table(spark, d, "messages"))
+    """How far the sessions of each directory have been read, by instant, then id."""
+    return capture.high_water(table(spark, d, "sessions").withColumn("instant", F.col("time_created")), "directory")
+
+
+@query("select session_id, count(*) as turns, count(text) as with_text from turns where session_id is not null group by session_id")
+def stream_capture_counts(spark, d):
+    return streamed_counts(spark, f"{d}/turns.parquet", ["session_id"], {"turns": F.count("*"), "with_text": F.count("text")})
+
+
+@query("with o as (select distinct session_id, turn_id, ord, timestamp from turns where session_id is not null), x as (select *, max(case when timestamp is not null then ord end) over (partition by session_id order by ord, turn_id rows between unbounded preceding and current row) as k from o) select session_id, count(*) as turns, count(k) as dated, count(distinct k) as sources from x group by session_id")
+def forward_filled_times(spark, d):
+    once = table(spark, d, "turns").where("session_id is not null").select("session_id", "turn_id", "ord", "timestamp").distinct()
+    marked = once.withColumn("timestamp", F.when(F.col("timestamp").isNotNull(), F.col("ord")))
+    return capture.filled_times(marked).groupBy("session_id").agg(F.count("*").alias("turns"), F.count("last_seen").alias("dated"), F.count_distinct("last_seen").alias("sources"))
 
 
 @query("select distinct id, list_last(string_split(rtrim(directory, '/'), '/')) as project from sessions")
@@ -599,5 +786,17 @@ def project_of_session(spark, d):
 
 @query()
 def beam_search(spark, d):
-    rows = entries(spark, d).where("layer = 0").select("id", "domain", "timestamp", "leaf_count", F.concat_ws(" ", "title", "domain").alias("text"))
-    return search.beam_search(rows.select("id", "text"), tree.build_tree(rows), "shared dashboard backup")
+    rows = entries(spark, d).where("layer = 0").select("id", "domain", "timestamp", "leaf_count", "title", "source", "status", F.concat_ws(" ", "title", "domain").alias("text"))
+    found = search.build_search_index(rows, tree.build_tree(rows))
+    return search.search(found, "shared dashboard backup")
+
+
+@query()
+def node_summaries(spark, d):
+    """The tree over whole documents, each node with its title, summary, keywords and entities."""
+    rows = docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.nullif(F.trim("domain"), F.lit("")), F.lit("general")).alias("domain"), F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lit(1).alias("leaf_count"), notes.first_meaningful_line(F.col("text")).alias("title"), "text")
+    words = terms.keywords(rows, ["id"], "text", 10).select("id", F.split("keywords", " ").alias("keywords"))
+    named = terms.ordered_distinct(terms.entities(rows, ["id"], "text", 8), ["id"], "entity", ["rank"]).withColumnRenamed("items", "entities")
+    none = F.array().cast("array<string>")
+    leaves = rows.join(words, "id", "left").join(named, "id", "left").withColumns({"keywords": F.coalesce("keywords", none), "entities": F.coalesce("entities", none), "tags": none})
+    return tree.build_tree(leaves, summarizer=summaries.summarize_nodes).select("id", "layer", "domain", "leaf_count", "title", "summary", F.array_join("keywords", " ").alias("keywords"), F.array_join("entities", " ").alias("entities"))

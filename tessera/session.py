@@ -44,7 +44,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
@@ -55,7 +55,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     Later jobs and retried tasks may read it, so it stays until `discard` or the end of the driver's process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    files, there = _file_system(spark, path)
+    files, there = file_system(spark, path)
     files.deleteOnExit(there)
     _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
@@ -66,7 +66,7 @@ def discard(spark: SparkSession) -> int:
     """Deletes the intermediate tables written so far, once the results that read them are done; returns their number."""
     paths, _WRITTEN[:] = list(_WRITTEN), []
     for path in paths:
-        files, there = _file_system(spark, path)
+        files, there = file_system(spark, path)
         files.delete(there, True)
     return len(paths)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.facts import timeline
-from tessera.session import written
+from tessera.operators.facts import key_of, timeline
+from tessera.session import shared_dir, written
 from tessera.sources.transcripts import parse_dialect_a, parse_dialect_b
 
 
@@ -53,8 +55,26 @@ def session_counts(spark: SparkSession, pattern: str, schema: str, timeout: str
     return rows.withWatermark("at", timeout).groupBy(F.session_window("at", timeout), "session_id").agg(F.count("*").alias("turns"))
 
 
+def streamed_counts(spark: SparkSession, path: str, keys: list[str], measures: dict) -> DataFrame:
+    """Counts by key of the rows that a stream of files has brought so far: each micro-batch is counted by itself and written
+    under its number, so that one that is run again replaces itself; the parts are added up. Takes all there is, then stops."""
+    out, state = (f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}" for label in ("counts", "stream"))
+    schema = spark.read.parquet(path).schema
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).where(" and ".join(f"{k} is not null" for k in keys))
+
+    def count(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys).agg(*[m.alias(n) for n, m in measures.items()]).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    rows.writeStream.foreachBatch(count).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    if not _exists(spark, out):
+        return spark.read.parquet(path).limit(0).groupBy(*keys).agg(*[m.alias(n) for n, m in measures.items()])
+    return spark.read.parquet(out).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in measures])
+
+
 def resolve_late(facts: DataFrame, batch: DataFrame) -> DataFrame:
-    """The timeline of the keys that a batch of facts touches, from all their facts: late ones are always accepted."""
-    touched = batch.select("subject", "attribute").distinct()
-    affected = facts.join(touched, ["subject", "attribute"], "left_semi").unionByName(batch)
+    """The timeline of the keys that a batch of facts touches, from all their facts, however they spell subject and
+    attribute: late ones are always accepted."""
+    touched = batch.select(key_of().alias("_key")).where("_key is not null").distinct()
+    affected = facts.withColumn("_key", key_of()).join(touched, "_key", "left_semi").drop("_key").unionByName(batch)
     return timeline(affected)
