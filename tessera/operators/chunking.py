@@ -149,14 +149,14 @@ def split_long(parts: DataFrame, target: int = TARGET, maximum: int = MAXIMUM) -
             for row in batch.to_pylist():
                 pieces, size = [], 0
                 for sentence in re.split(_SENTENCE_PY, row["text"]):
-                    if pieces and size + len(sentence) // 4 <= target:
-                        pieces[-1] += sentence
+                    if pieces and (size + len(sentence)) // 4 <= target:
+                        pieces[-1].append(sentence)
                     else:
-                        pieces.append(sentence)
+                        pieces.append([sentence])
                         size = 0
-                    size += len(sentence) // 4
+                    size += len(sentence)
                 line = row["start_line"]
-                for k, piece in enumerate(pieces):
+                for k, piece in enumerate(map("".join, pieces)):
                     breaks = piece.count("\n")
                     last = line + breaks - (piece.endswith("\n") and breaks > 0)
                     out.append(row | dict(text=piece, start_line=line, end_line=last, hard=row["hard"] and k == 0, piece=k))

@@ -41,11 +41,19 @@ def read_documents(spark: SparkSession, root: str, glob: str = "*") -> DataFrame
     return rows.where(kept(F.col("source")))
 
 
-def scan_project(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, mtime) of a project's files, without their content: what change detection reads first."""
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """(source, text, mtime) of one text file, whatever its suffix; its source is its name."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("source"), F.col("value").alias("text"), F.date_trunc("second", F.col("_metadata.file_modification_time")).alias("mtime"))
+
+
+def scan_project(spark: SparkSession, root: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """(path, size, mtime, too_large) of a project's files, without their content: what change detection reads first.
+
+    Files over `max_bytes` are marked, not left out; None is no bound."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rows = rows.select(relative_path(root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    return rows.where(kept(F.col("path")) & (F.col("size") <= MAX_BYTES))
+    return rows.where(kept(F.col("path"))).withColumn("too_large", F.lit(False) if max_bytes is None else F.col("size") > max_bytes)
 
 
 def digests(spark: SparkSession, root: str) -> DataFrame:
@@ -79,3 +87,38 @@ def read_lines(documents: DataFrame, start: int, end: int) -> DataFrame:
     """(source, line, text) of the lines from `start` to `end`, counted from 1."""
     rows = documents.select("source", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return rows.withColumn("line", F.col("line") + 1).where(F.col("line").between(start, end))
+
+
+def read_nodes(spark: SparkSession, root: str, layer: int | None = None) -> DataFrame:
+    """Node files, one JSON document each; `malformed` tells files that are none. A layer's nodes are found by the column."""
+    schema = "id string, layer int, domain string, title string, summary string, keywords array<string>, entities array<string>, tags array<string>, children array<string>, parent_id string, timestamp string, leaf_count bigint"
+    rows = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(relative_path(root).alias("path"), F.from_json("value", schema).alias("n"))
+    nodes = rows.select("path", "n.*", F.col("n.id").isNull().alias("malformed"))
+    return nodes if layer is None else nodes.where(F.col("layer") == layer)
+
+
+def read_changes(now: DataFrame, before: DataFrame, context: int = 2, share: float = 0.6) -> DataFrame:
+    """(source, status, text): how files (source, text) read now differ from the copies last read: new, unchanged (without a
+    text), changed with the lines that differ and `context` lines around them, or, where that would take more than `share` of
+    the text, whole. Differences are made in Python, for changed files only."""
+    import difflib
+
+    old = before.select("source", F.col("text").alias("_old"))
+    rows = now.select("source", "text").join(old, "source", "left")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for source, text, then in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = list(difflib.unified_diff(then.splitlines(), text.splitlines(), "before", "now", n=context, lineterm=""))
+                diff = "\n".join(lines)
+                out.append((source, "diff", diff) if len(diff) < share * len(text) else (source, "changed", text))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["source", "status", "text"])
+
+    changed = rows.where("_old is not null and text is not null and _old <> text").mapInArrow(run, "source string, status string, text string")
+    plain = rows.where("_old is null or text is null or _old = text")
+    same = F.col("_old").isNotNull() & (F.col("_old") == F.col("text"))
+    return changed.unionByName(plain.select("source", F.when(same, "unchanged").otherwise("new").alias("status"), F.when(~same, F.col("text")).alias("text")))
