@@ -81,6 +81,11 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_chunks, p5_found, p5_redacted, p6_found, p6_conversations, p7_containers, p8_found, p8_near, p9_found, p9_spans)}
 ORACLE = {
+    "p8_found": """
+        with w as (select doc_id, item_id, list_filter(regexp_split_to_array(regexp_replace(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') as words from (select doc_id, null as item_id, text from documents union all select null, item_id, text from eval_items)),
+        s as (select doc_id, item_id, unnest(list_transform(range(1, greatest(0, len(words) - 11) + 1), lambda i: array_to_string(words[i:i + 11], ' '))) as shingle from w)
+        select distinct d.doc_id, i.item_id from s d join s i on i.shingle = d.shingle and i.item_id is not null and d.doc_id is not null
+    """,
     "p1_chunks": """
         with sizes as (select block_id, max(source) as source, max(ord) as ord, max(length(text)) as n from blocks group by block_id),
         spans as (select c.chunk_id, f.source, f.ord as a, l.ord as b from chunks c join sizes f on f.block_id = c.first_block_id join sizes l on l.block_id = c.last_block_id)
