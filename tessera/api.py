@@ -16,7 +16,7 @@ from tessera.functions import terms, text
 from tessera.functions.notes import leading_date
 from tessera.operators import chunking, classify, facts, ranking, search, store, summaries, tree
 from tessera.operators.timestamps import utc_text
-from tessera.session import file_system
+from tessera.session import file_system, written
 from tessera.sources import files
 
 
@@ -122,9 +122,10 @@ class Memory:
         docs = documents.where("text is not null").select(own.alias("source"), "text", *[(F.col(c) if c in given else none).alias(f"given_{c}") for c in ("timestamp", "data_type", "domain")], (F.col("tags") if "tags" in given else empty).alias("given_tags"), (F.col("mtime") if "mtime" in given else F.lit(None).cast("timestamp")).alias("mtime"))
         docs = docs.groupBy("source").agg(F.max(F.struct("mtime", "text", "given_timestamp", "given_data_type", "given_domain", "given_tags")).alias("d")).select(F.xxhash64("source").alias("doc_id"), "source", "d.*")
         found = self.detector(docs.select("doc_id", "source", "text")).select("doc_id", F.col("data_type").alias("_type"), F.col("domain").alias("_domain"))
-        typed = docs.join(found, "doc_id").withColumns({"data_type": F.coalesce("given_data_type", "_type"), "domain": text.slug(F.coalesce("given_domain", "_domain"))})
+        typed = written(docs.join(found, "doc_id"), "typed").withColumns({"data_type": F.coalesce("given_data_type", "_type"), "domain": text.slug(F.coalesce("given_domain", "_domain"))})
         blocks = chunking.blocks_by_type(typed.select("doc_id", "source", "text", "data_type"), self.config.target_tokens, self.config.max_tokens, self.config.symbols, self.chunkers)
         blocks = blocks.join(typed.select("doc_id", "source", "data_type"), "doc_id").withColumn("block_id", F.xxhash64("doc_id", "ord"))
+        blocks = written(blocks, "blocks")
         limits = self.config.target_tokens, self.config.max_tokens
         if self.config.symbols:
             chunks = chunking.pack(blocks.where("data_type <> 'CODE'"), *limits, self.config.min_tokens).unionByName(chunking.pack_each(blocks.where("data_type = 'CODE'"), *limits))
@@ -140,6 +141,7 @@ class Memory:
             key.alias("leaf_id"), when.alias("timestamp"), F.lit(now).alias("ingested_at"), "data_type", "domain", "source", F.col("chunk").cast("int").alias("order_index"), text.truncate(F.concat(stem, F.lit(" · "), "title"), 110).alias("title"), tags.alias("tags"),
             "start_line", "end_line", none.alias("parent_id"), F.lit("ACTIVE").alias("status"), none.alias("superseded_by"), "oversized", text.estimate_tokens(F.col("text")).alias("token_estimate"), F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("checksum"), "context", F.col("text").alias("content"),
         )
+        leaves = written(leaves, "leaves")
         words = terms.keywords(leaves, ["leaf_id"], "content", 14, boost="title").select("leaf_id", F.split("keywords", " ").alias("keywords"))
         named = terms.ordered_distinct(terms.entities(leaves, ["leaf_id"], "content", 10), ["leaf_id"], "entity", ["rank"]).withColumnRenamed("items", "entities")
         full = leaves.join(words, "leaf_id", "left").join(named, "leaf_id", "left").withColumns({"keywords": F.coalesce("keywords", empty), "entities": F.coalesce("entities", empty)})
@@ -148,7 +150,7 @@ class Memory:
     def ingest(self, documents: DataFrame, now: str, replace_previous: bool = True) -> DataFrame:
         """Adds documents and returns one row of totals. Leaves of a source that its new version no longer has become
         historical, unless `replace_previous` is off; an unchanged leaf keeps its parent."""
-        new = self.build_leaves(documents, now)
+        new = written(self.build_leaves(documents, now), "new-leaves")
         if self.exists():
             old = self._table("leaves")
             kept = old.select(F.col("leaf_id").alias("_id"), F.col("parent_id").alias("_parent"), F.col("status").alias("_status"), F.col("superseded_by").alias("_by"))
@@ -263,7 +265,7 @@ class Memory:
         rows = self.leaves(historical=True)
         dated = rows.select(F.col("leaf_id").alias("source_leaf_id"), "timestamp")
         found = facts.extract(rows, self.rules).withColumnRenamed("leaf_id", "source_leaf_id").join(dated, "source_leaf_id")
-        return found.unionByName(self._table("facts", "fact_id string, subject string, attribute string, value string, timestamp string, source_leaf_id string"), allowMissingColumns=True)
+        return written(found, "stated").unionByName(self._table("facts", "fact_id string, subject string, attribute string, value string, timestamp string, source_leaf_id string"), allowMissingColumns=True)
 
     def record_fact(self, subject: str, attribute: str, value: str, timestamp: str, source_leaf_id: str | None = None) -> None:
         """A fact by hand; the same one twice counts once."""
