@@ -1,6 +1,6 @@
-"""Names of persons: what a lexicon and a bounded sample of texts teach about further names.
+"""Names of persons: what a lexicon and texts teach about further names.
 
-The lexicon labels the sample: a capital pair with a known part in its place is a name. From these labels a name model
+The lexicon labels the texts: a capital pair with a known part in its place is a name. From these labels a name model
 learns further parts of names, from their partners and the forms they stand in; common words and pieces of product
 names, which are none; and, by naive Bayes, the words that stand beside names. A pair that no list knows is judged by
 its shape, its place in the sentence and that context.
@@ -24,10 +24,11 @@ _PARTICLE = r"(?:(?:van|von|de|del|di|da|dos|du|le|la|bin|al|ter)(?: (?:der|den|
 #: Pairs that have the shape of a name, in any order of given and family name.
 PAIR = re.compile(rf"(?<![\w@./+\-'’])(?:({_NAME})(?: ([{UP}])\.)? ({_PARTICLE})({_NAME})|([{UP}])\. (?:[{UP}]\. )?({_NAME})|({_NAME}), ({_NAME}))(?![\w@+/'’-]|\.\w)")
 #: A word of prose, no piece of an address, a path or a code.
-_WHOLE = re.compile(rf"(?<![\w@.+=/<'’-])[{UP}{LOW}]+(?:['’-][{UP}{LOW}]+)*(?![\w@+(=/-]|\.\w)")
-_CAMEL = re.compile(rf"(?:[{UP}][{LOW}]+){{2,}}")
-_PIECE = re.compile(rf"[{UP}][{LOW}]+")
-_SCOTTISH = re.compile(rf"(?:Mc|Mac|De|Di|La|Le|Van|Von)(?=[{UP}][{LOW}])")
+WHOLE = re.compile(rf"(?<![\w@.+=/<'’-])[{UP}{LOW}]+(?:['’-][{UP}{LOW}]+)*(?![\w@+(=/-]|\.\w)")
+CAMEL = re.compile(rf"(?:[{UP}][{LOW}]+){{2,}}")
+PIECE = re.compile(rf"[{UP}][{LOW}]+")
+LOWER_PAIR = re.compile(rf"(?<![\w@./+-])([{LOW}]{{3,}}(?:-[{LOW}]+)*) ([{LOW}]{{3,}}(?:-[{LOW}]+)*)(?![\w@])")
+SCOTTISH = re.compile(rf"(?:Mc|Mac|De|Di|La|Le|Van|Von)(?=[{UP}][{LOW}])")
 
 #: Words that are no part of a name even with a capital, by kind.
 CLOSINGS = frozenset("regards thanks best cheers sincerely dear hello hi hola danke merci gracias saludo saludos atentamente gruß grüße gruss cordialement bonjour hallo liebe lieber yours".split())
@@ -70,17 +71,17 @@ def bare(word: str) -> str:
 
 def capital(word: str) -> bool:
     """Whether a word is written the way a name is: a capital and small letters, or capitals alone, in each part."""
-    parts = re.split(r"[-'’]", _SCOTTISH.sub("", word) if word[:2] in ("Mc", "Ma", "De", "Di", "La", "Le", "Va", "Vo") else word)
+    parts = re.split(r"[-'’]", SCOTTISH.sub("", word) if word[:2] in ("Mc", "Ma", "De", "Di", "La", "Le", "Va", "Vo") else word)
     return len(word) > 1 and all(p and p[0].isupper() and (p[1:].islower() or len(p) > 2 and p.isupper() or len(p) == 1 and len(parts) > 1) for p in parts)
 
 
 @dataclass
 class NameModel:
-    """What a sample teaches. Words are without accents, in lower case. An untaught model knows only the lists above."""
+    """What texts teach. Words are without accents, in lower case. An untaught model knows only the lists above."""
 
     given: frozenset[str] = frozenset()
     family: frozenset[str] = frozenset()
-    spelled: frozenset[str] = frozenset()  # given and family as they are written, in lower case
+    spelled: frozenset[str] = frozenset()  # given and family as they are written with accents, in lower case
     common: frozenset[str] = frozenset()
     pieces: frozenset[str] = frozenset()
     context: dict[str, float] = field(default_factory=dict)
@@ -92,7 +93,7 @@ class NameModel:
 
     def beside(self, text: str, start: int, end: int) -> float:
         """How far the words beside a span speak for a name, in log odds."""
-        left, right = _beside(text, start, end)
+        left, right = beside(text, start, end)
         learned = self.context.get(f"<{left}", 0.0) + self.context.get(f">{right}", 0.0)
         return max(-4.0, min(4.0, learned))
 
@@ -105,7 +106,7 @@ class NameModel:
             return None
         start, end = m.span()
         score = 0.5
-        left, right = _beside(text, start, end)
+        left, right = beside(text, start, end)
         run = re.search(rf"({_NAME}) $", text[max(0, start - 32) : start])
         if run and len(run[1]) > 1 and run[1].lower() not in NO_NAME:
             return None  # the end of a longer run of capitals
@@ -117,7 +118,7 @@ class NameModel:
         if further and not m[7]:
             if self.plausible(further[1]):
                 end += further.end()
-                left, right = _beside(text, start, end)
+                left, right = beside(text, start, end)
             elif further[1].lower() in THINGS:
                 return None
         if left in _BEFORE_PLACES:
@@ -131,7 +132,7 @@ class NameModel:
         return (start, end) if score + self.beside(text, start, end) > 0 else None
 
 
-def _beside(text: str, start: int, end: int) -> tuple[str, str]:
+def beside(text: str, start: int, end: int) -> tuple[str, str]:
     """The words beside a span, in lower case; ^ or $ where a sentence, line or text ends."""
     before, after = text[max(0, start - 32) : start], text[end : end + 32]
     left = re.search(rf"([{UP}{LOW}]+)[ :,(\"“'‘]*$", before)
@@ -139,7 +140,7 @@ def _beside(text: str, start: int, end: int) -> tuple[str, str]:
     return left[1].lower() if left else "^", right[1].lower() if right else "$"
 
 
-def _pairs(text: str) -> Iterator[re.Match]:
+def pairs(text: str) -> Iterator[re.Match]:
     at = 0
     while m := PAIR.search(text, at):
         yield m
@@ -147,14 +148,14 @@ def _pairs(text: str) -> Iterator[re.Match]:
 
 
 def learn(texts: Iterable[str], given: set[str], family: set[str], rounds: int = 3) -> NameModel:
-    """A model from a bounded sample of texts, labelled by the lexicon's given and family names (without accents, in lower case).
+    """A model from texts in memory, labelled by the lexicon's given and family names (without accents, in lower case); `fitting.fit` has the same from a table.
 
     A word becomes a part of names if two known partners at least stand beside it, in two forms at least of: plain,
     comma, middle initial, small letters, capitals. Common words are those that are often seen in small letters."""
     texts = list(texts)
     small, large, pieces = Counter(), Counter(), set()
     for text in texts:
-        words = _WHOLE.findall(text)
+        words = WHOLE.findall(text)
         lows = [bare(w) for w in words]
         for i, (w, low) in enumerate(zip(words, lows)):
             if w[0].islower():
@@ -163,13 +164,12 @@ def learn(texts: Iterable[str], given: set[str], family: set[str], rounds: int =
                     small[low] += 1
             else:
                 large[low] += 1
-                if _CAMEL.fullmatch(w) and not _SCOTTISH.match(w):
-                    pieces.update(bare(p) for p in _PIECE.findall(w))
+                if CAMEL.fullmatch(w) and not SCOTTISH.match(w):
+                    pieces.update(bare(p) for p in PIECE.findall(w))
     pieces -= given | family
-    lower_pairs = re.compile(rf"(?<![\w@./+-])([{LOW}]{{3,}}(?:-[{LOW}]+)*) ([{LOW}]{{3,}}(?:-[{LOW}]+)*)(?![\w@])")
     seen: list[tuple[str, str, str]] = []  # (form, given place, family place)
     for text in texts:
-        for m in _pairs(text):
+        for m in pairs(text):
             if m[4]:
                 a, b, form = m[1], m[4], "middle" if m[2] else "capitals" if m[4].isupper() or m[1].isupper() else "plain"
             elif m[7]:
@@ -179,7 +179,7 @@ def learn(texts: Iterable[str], given: set[str], family: set[str], rounds: int =
             if capital(a) and capital(b) and a.lower() not in NO_NAME and b.lower() not in NO_NAME:
                 seen.append((form, bare(a), bare(b)))
         if any(low in text for low in given) or any(low in text for low in family):
-            seen += [("small", bare(a), bare(b)) for a, b in lower_pairs.findall(text)]
+            seen += [("small", bare(a), bare(b)) for a, b in LOWER_PAIR.findall(text) if a not in NO_NAME and b not in NO_NAME]
     more_given, more_family = set(), set()
     for _ in range(rounds):
         known_given, known_family = given | more_given, family | more_family
@@ -205,20 +205,20 @@ def learn(texts: Iterable[str], given: set[str], family: set[str], rounds: int =
     for word in more_given & more_family:  # the place it is more often in decides
         as_given, as_family = sum(g == word for _, g, _ in seen), sum(word in f.split("-") for _, _, f in seen)
         (more_family if as_given > as_family else more_given).discard(word)
-    spelled = {w.lower() for text in texts for w in TOKEN.findall(text) for w in (w, *w.split("-")) if bare(w) in more_given or bare(w) in more_family}
+    spelled = {w.lower() for text in texts for w in TOKEN.findall(text) for w in (w, *w.split("-")) if bare(w) != w.lower() and (bare(w) in more_given or bare(w) in more_family)}
     names = given | family | more_given | more_family
     common = {w for w, n in small.items() if w not in names and len(w) > 1 and n > large[w] / 4}
     known_given, known_family = given | more_given, family | more_family
     # Context: what stands beside pairs of two known parts, against what stands beside other capital pairs.
     good, bad = Counter(), Counter()
     for text in texts:
-        for m in _pairs(text):
+        for m in pairs(text):
             a, b = (m[1], m[4]) if m[4] else (m[8], m[7]) if m[7] else (m[6], m[6])
             is_name = (bare(a) in known_given or m[6] is not None) and any(bare(p) in known_family for p in b.split("-"))
             if not is_name and not all(capital(w) and w.lower() not in NO_NAME for w in (a, b)):
                 continue  # what has not the shape of a name teaches nothing about names
             side = good if is_name else bad
-            left, right = _beside(text, *m.span())
+            left, right = beside(text, *m.span())
             side[f"<{left}"] += 1
             side[f">{right}"] += 1
             side["n"] += 1

@@ -1,7 +1,7 @@
 """Personal information inside free text: found, and replaced by typed placeholders.
 
-Formats find emails, phone and identity numbers and addresses; persons are found by a lexicon of names, by what a
-bounded sample of the texts teaches beside it (see `names`), and behind titles, closings and labels. Numbers, and dates where a text is redacted, are permuted by a keyed Feistel network within their
+Formats find emails, phone and identity numbers and addresses; persons are found by a lexicon of names, by what the
+texts teach beside it (see `names` and `fitting`), and behind titles, closings and labels. Numbers, and dates where a text is redacted, are permuted by a keyed Feistel network within their
 format (see `pseudonyms`), so the pseudonym of a value has its shape and is the same in every document and spelling;
 other values get a keyed digest.
 """
@@ -18,14 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.fitting import fit
 from tessera.llm.names import LOW as _LOW
-from tessera.llm.names import NO_NAME, PAIR, TITLES, TOKEN, NameModel, bare, capital, learn
+from tessera.llm.names import NO_NAME, PAIR, TITLES, TOKEN, NameModel, bare, capital
 from tessera.llm.names import UP as _UP
 from tessera.llm.pseudonyms import calendar_date, find_dates, identity, phone, pseudonym  # noqa: F401
 
 TYPES = ("email", "phone", "id", "address", "name")
-#: The sample that the name model is fitted on: about this many texts, none longer than this many characters.
-SAMPLE_TEXTS, SAMPLE_CHARS = 20_000, 4_000
 _WORD = rf"[{_UP}][{_UP}{_LOW}'’]*(?:-[{_UP}{_LOW}][{_UP}{_LOW}'’]*)*"
 
 # ---------------------------------------------------------------- email
@@ -104,7 +103,7 @@ _PLACE_END, _PLACE_START, _MAIL_WORD, _LENGTH = 32, 64, 128, 8
 
 
 class Finder:
-    """Finds typed spans in texts, given the lexicon of known names and what a sample taught beside it."""
+    """Finds typed spans in texts, given the lexicon of known names and what the texts taught beside it."""
 
     def __init__(self, names: list[tuple[str, str]], model: NameModel | None = None) -> None:
         self.model = model or NameModel()
@@ -324,23 +323,17 @@ def _redactor(names: list[tuple[str, str]], model: NameModel, key: bytes):
     return run
 
 
-def fitted(texts: DataFrame, names: list[tuple[str, str]], sample: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> NameModel:
-    """The name model, fitted on the driver on about `sample` texts of at most `chars` characters, chosen by a hash of their keys.
-
-    Only the fit is bounded: every text is then searched whole. A lexicon without names teaches nothing."""
+def fitted(texts: DataFrame, names: list[tuple[str, str]]) -> NameModel:
+    """The name model, fitted on every text, whole. A lexicon without names teaches nothing."""
     if not names:
         return NameModel()
-    keyed = texts.where("text is not null")
-    total, span = keyed.select("rec_key").count(), 1 << 30
-    chosen = F.pmod(F.xxhash64("kind", "rec_key"), F.lit(span)) < int(span * min(1.0, 0.95 * sample / max(1, total)))
-    rows = (keyed.where(chosen) if total > sample else keyed).where(F.char_length("text") <= chars).select("text").limit(sample).toPandas()
-    return learn(rows["text"], {bare(n) for n, kind in names if kind == "given"}, {bare(n) for n, kind in names if kind != "given"})
+    return fit(texts, {bare(n) for n, kind in names if kind == "given"}, {bare(n) for n, kind in names if kind != "given"})
 
 
 def find_pii(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(kind, rec_key, pii_type, found, start) for every span found in rows (kind, rec_key, text).
 
-    One pass without a shuffle, after the fit of the name model on a bounded sample. Null texts give no row; repeated
+    One pass without a shuffle, after the fit of the name model on all of the texts, which is a pass of its own. Null texts give no row; repeated
     rows repeat theirs; an empty lexicon leaves names to titles, closings, labels and their shape; extra columns are ignored.
     """
     known = _lexicon(names)
